@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from mapgauge.llm import chat, exact_dedup, langid, line_dedup, media, mixing, packing, simhash
+import corpus_pipeline
+from mapgauge.llm import chat, exact_dedup, langid, line_dedup, media, mixing, packing, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_chat": chat.op1_chat,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_language_id": langid.op4_language_id,
         "op5_media": media.op5_media,
         "op6_packing": packing.op6_packing,
         "op7_simhash": simhash.op7_simhash,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
