@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mapgauge.llm.common import durable, text_of, with_id
+from mapgauge.llm.common import durable, partitions, text_of, with_id
 
 #: What a word is, and the weights that sources get in turn.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,10 +93,10 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 def numbered(rows: DataFrame, by: list[str], order: list[str], size: str) -> DataFrame:
     """rows with `_start`: the sum of size over the rows before it in its group, in an order that is the same at each run.
 
-    Two levels, so no group is ever in one task: rows fall into hash buckets of about BUCKET_ROWS; a running sum
+    Two levels, so no group is ever in one task: rows fall into hash buckets of at most about BUCKET_ROWS, several for each task; a running sum
     within (group, bucket) is added to the running sum over the group's buckets.
     """
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    buckets = max(4 * partitions(rows.sparkSession), -(-rows.count() // BUCKET_ROWS))
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     totals = rows.groupBy(*by, "_bucket").agg(F.sum(size).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -285,7 +285,7 @@ def simhash_groups(docs: DataFrame, most: int = 4, words: int = 4, cap: int = 40
 def drop_near_copies(docs: DataFrame, most: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row for each component: that of the smallest id; all columns stay. Rows that repeat an id are told
     apart by text; of fully repeated rows one stays."""
-    groups = simhash_groups(docs, most, words, id_col, text_col=text_col)
+    groups = simhash_groups(docs, most, words, id_col=id_col, text_col=text_col)
     first = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.coalesce(id_col, F.lit(NULL_ID)).alias("_id")).distinct()
     rows = with_id(docs, id_col)
     return rows.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
