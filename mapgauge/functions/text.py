@@ -18,7 +18,7 @@ SYNONYMS = {
     "overlaps": ["overlaps", "overlap", "extends into", "partly"],
 }
 #: White space inside numbers beside the ASCII kind, which is all that \s means to the JVM.
-WIDE = "  "
+WIDE = "\u00a0\u202f"
 NUMBER = rf"[0-9][0-9,\s{WIDE}]*\.?[0-9]*"
 
 
