@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mapgauge.functions.geo import vincenty_km
 
@@ -106,14 +107,14 @@ def recover_by_group(pairs: DataFrame, places: DataFrame, group: str, most: int
         return pd.DataFrame([(str(key[0]), *r) for r in rows], columns=["group", "name", "lat", "lon", "pred_lat", "pred_lon", "err_km"])
 
     kind = "group string, name string, lat double, lon double, pred_lat double, pred_lon double, err_km double"
-    return pairs.groupBy(group).cogroup(places.groupBy(group)).applyInPandas(run, kind)
+    left = pairs.select(F.col(group).alias("_ga"), "a", "b", "d")
+    right = places.select(F.col(group).alias("_gb"), "name", "lat", "lon")
+    return left.groupBy("_ga").cogroup(right.groupBy("_gb")).applyInPandas(run, kind)
 
 
 def align_by_group(df: DataFrame, group: str, x: tuple[str, str], y: tuple[str, str]) -> DataFrame:
     """M5 for each group, from sums alone: the covariance and means come from one aggregate, and only they are turned into
     a rotation, so no group's rows are gathered."""
-    from pyspark.sql import functions as F
-
     n = F.count(F.lit(1))
     cov = [(F.sum(F.col(a) * F.col(b)) - F.sum(a) * F.sum(b) / n).alias(f"c{i}{j}") for i, a in enumerate(x) for j, b in enumerate(y)]
     var = sum((F.sum(F.col(a) * F.col(a)) - F.sum(a) * F.sum(a) / n) for a in x)

@@ -46,11 +46,14 @@ def first_place(texts: DataFrame, gazetteer: DataFrame, text: str, own: str | No
     places = gazetteer.select(clean_name(place).alias("_p"), F.col(order).alias("_ord")).groupBy("_p").agg(F.min("_ord").alias("_ord"))
     lengths = sorted(r["n"] for r in places.select(F.size(F.split("_p", " ")).alias("n")).distinct().collect())
     rows = texts.select(F.col(key), F.lower(F.col(text)).alias("_t"), (clean_name(own) if own else F.lit(None).cast("string")).alias("_own"))
-    words = rows.withColumn("_w", F.split("_t", " "))
+    words = rows.withColumn("_w", F.split("_t", " ")).where(F.size("_w") >= 3)
     hits = None
     for n in lengths:
-        at = F.sequence(F.lit(1), F.size("_w") - 1 - n)
-        runs = words.where(F.size("_w") >= n + 2).select(key, "_own", F.posexplode(F.transform(at, lambda i, n=n: F.array_join(F.slice(F.col("_w"), i + 1, n), " "))).alias("_i", "_p"))
+        m = F.greatest(F.lit(0), F.size("_w") - 1 - n)
+        run = F.slice("_w", F.lit(2), m)  # runs of n words, built by laying shifted copies beside each other
+        for k in range(1, n):
+            run = F.zip_with(run, F.slice("_w", F.lit(2 + k), m), lambda a, b: F.concat(a, F.lit(" "), b))
+        runs = words.select(key, "_own", F.posexplode(run).alias("_i", "_p"))
         hits = runs if hits is None else hits.unionByName(runs)
     if hits is None:
         return texts.select(key).withColumn("place", F.lit(None).cast("string"))
