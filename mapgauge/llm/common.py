@@ -23,6 +23,18 @@ def with_id(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
 
 
+def framed(df: DataFrame, carried: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_row (a struct of the carried columns, whatever their names), _id, _t (null text: empty) and _th, the text's hash."""
+    t = text_of(text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("_none"))
+    return df.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), t.alias("_t"), F.xxhash64(t).alias("_th"))
+
+
+def carried_out(carried: list[str]) -> list[Column]:
+    """The carried columns of framed(), as columns again."""
+    return [F.col("_row").getField(c).alias(c) for c in carried]
+
+
 def id_out(name: str = "_id") -> Column:
     """The inverse of with_id: NULL_ID becomes null again."""
     return F.nullif(F.col(name), F.lit(NULL_ID))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import NULL_ID, durable, id_out, lower_ascii, partitions, text_of, with_id
+from mapgauge.llm.common import NULL_ID, carried_out, durable, framed, id_out, lower_ascii, partitions
 
 _RUNS = "_id long, text_sha256 string, part int, run long, size long, keep long, first boolean, edge boolean"
 
@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     if keep not in ("largest", "smallest"):
         raise ValueError(f"keep: {keep}")
     spark = docs.sparkSession
-    rows = with_id(docs, id_col).select("_id", lower_ascii(text_of(text_col)).alias("_norm"))
+    rows = framed(docs, [], id_col, text_col).select("_id", lower_ascii(F.col("_t")).alias("_norm"))
     n = partitions(spark)
     ordered = rows.repartitionByRange(n, "_norm", "_id").sortWithinPartitions("_norm", "_id")
     runs = durable(ordered.mapInArrow(_runs(keep == "largest"), _RUNS))
@@ -102,8 +102,8 @@ def _by_text(keep: str):
 def drop_copies(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops; all columns stay. Of fully repeated rows one stays."""
     stay = exact_dedup(docs, keep, id_col, text_col).where("kept").select(F.coalesce(id_col, F.lit(NULL_ID)).alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = with_id(docs, id_col).withColumn("_sha", F.sha2(lower_ascii(text_of(text_col)), 256))
-    return rows.join(stay, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    rows = framed(docs, docs.columns, id_col, text_col).select("_row", "_id", F.sha2(lower_ascii(F.col("_t")), 256).alias("_sha"))
+    return rows.join(stay, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*carried_out(docs.columns))
 
 
 def op3_exact_dedup(spark, sf_dir) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import lower_ascii, text_of, with_id
+from mapgauge.llm.common import carried_out, framed, lower_ascii
 
 #: The white space that a line's key loses at its ends.
 BLANK = " \t\n\x0b\x0c\r"
@@ -21,14 +21,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     Lines split at newline; a line's key is trimmed and A-Z lower-cased. Keys of at least min_chars code points
     found in at least min_docs documents (distinct ids) stay only in the smallest id that holds them. A null or
     empty text is one empty line and comes back as ''. A null id counts as one document, the smallest. Rows that
-    repeat an id count once as a document, and each keeps or loses lines by its own text. Other columns pass through.
+    repeat an id count once as a document, and each keeps or loses lines by its own text. Other columns pass through;
+    n_lines and n_dropped replace columns so called.
 
     A key is carried as two 64-bit hashes of different seeds. The first aggregate combines before its shuffle, so
     a line held by a third of all documents reaches the reducers once a map task; the join that follows is one
     that adaptive execution splits where it is skewed; no group of documents is ever gathered.
     """
-    rows = with_id(docs, id_col).withColumn("_t", text_of(text_col))
-    rows = rows.withColumn("_th", F.xxhash64("_t")).withColumn("_lines", F.split("_t", "\n"))
+    carried = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    rows = framed(docs, carried, id_col, text_col).withColumn("_lines", F.split("_t", "\n"))
     key = line_key(F.col("_line"))
     found = (
         rows.select("_id", "_th", F.posexplode("_lines").alias("_pos", "_line"))
@@ -49,14 +50,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         .groupBy("_id", "_th")
         .agg(F.collect_set("_pos").alias("_drop"))
     )
-    carried = [c for c in docs.columns if c != text_col]
-    rows = rows.select(*carried, "_id", "_th", "_lines").join(drop, ["_id", "_th"], "left")
+    rows = rows.select("_row", "_id", "_th", "_lines").join(drop, ["_id", "_th"], "left")
     all_pos = F.sequence(F.lit(0), F.size("_lines") - 1)
     rows = rows.withColumn("_left", F.when(F.col("_drop").isNull(), all_pos).otherwise(F.array_except(all_pos, "_drop")))
     whole = F.array_join("_lines", "\n")
     kept = F.array_join(F.transform("_left", lambda i: F.get(F.col("_lines"), i)), "\n")
     return rows.select(
-        *carried,
+        *carried_out(carried),
         F.when(F.col("_drop").isNull(), whole).otherwise(kept).alias(text_col),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_left")).cast("long").alias("n_dropped"),

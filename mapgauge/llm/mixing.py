@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mapgauge.llm.common import durable, partitions, text_of, with_id
+from mapgauge.llm.common import carried_out, durable, framed, partitions
 
 #: What a word is, and the weights that sources get in turn.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -125,8 +125,8 @@ class Mix:
         """
         spark = docs.sparkSession
         self.spark, self.id_col = spark, id_col
-        t = text_of(text_col)
-        rows = with_id(docs, id_col).select("_id", F.col(source_col).cast("string").alias("_source"), F.xxhash64(t).alias("_th"), word_count(t).alias("_size"))
+        rows = framed(docs, [source_col], id_col, text_col)
+        rows = rows.select("_id", F.col("_row").getField(source_col).cast("string").alias("_source"), "_th", word_count(F.col("_t")).alias("_size"))
         rows = durable(rows)
         found = rows.groupBy("_source").agg(F.sum("_size").alias("n")).collect()  # a row for each source
         found.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
@@ -140,7 +140,7 @@ class Mix:
         kinds = T.StructType([T.StructField("_name", T.StringType()), T.StructField("_s", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_len", T.LongType()), T.StructField("_blocks", T.LongType())])
         self.sources = spark.createDataFrame([(r["_source"], i, n, float(g), b, k) for i, (r, n, g, b, k) in enumerate(zip(found, sizes, goal, lengths, blocks, strict=True))], kinds)
         rows = rows.join(self.sources, F.col("_source").eqNullSafe(F.col("_name")))
-        self.rows = numbered(rows, ["_s"], ["_id", "_th", "_size"], "_size").withColumn("_row", F.xxhash64("_s", "_start", "_id", "_th"))
+        self.rows = numbered(rows, ["_s"], ["_id", "_th", "_size"], "_size").withColumn("_key", F.xxhash64("_s", "_start", "_id", "_th"))
 
     def slots(self) -> DataFrame:
         """shard, slot in it, source number, block number, pass."""
@@ -167,7 +167,7 @@ class Mix:
         rows = rows.withColumn("_block", F.explode(F.sequence(first, last)))
         lo = F.greatest(F.col("_start"), F.col("_block") * F.col("_len"))
         hi = F.least(F.col("_start") + F.col("_size"), (F.col("_block") + 1) * F.col("_len"))
-        return rows.select("_s", "_block", "_row", "_id", "_th", (lo - F.col("_start")).alias("word"), (hi - lo).alias("words"))
+        return rows.select("_s", "_block", "_key", "_id", "_th", (lo - F.col("_start")).alias("word"), (hi - lo).alias("words"))
 
     def pieces(self) -> DataFrame:
         """The mix itself: for every output slot the pieces of documents it holds, blocks joined by their index."""
@@ -175,8 +175,8 @@ class Mix:
 
     def documents(self) -> DataFrame:
         """A row for each document: size, its source's size and target, and the words that the mix takes of it."""
-        got = self.pieces().groupBy("_row").agg(F.sum("words").alias("taken"))
-        rows = self.rows.join(got, "_row", "left")
+        got = self.pieces().groupBy("_key").agg(F.sum("words").alias("taken"))
+        rows = self.rows.join(got, "_key", "left")
         return rows.select(F.nullif(F.col("_id"), F.lit(-(2**63))).alias(self.id_col), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -185,14 +185,14 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     is the words taken in that pass, in order; what the mix leaves out is gone, what it takes twice comes twice.
     Runs of words keep their own white space and are joined by a newline."""
     mix = Mix(docs, id_col=id_col, text_col=text_col, **options)
-    taken = mix.pieces().groupBy("_id", "_th", "_row", "turn").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("_spans"))
-    rows = with_id(docs, id_col).withColumn("_t", text_of(text_col)).withColumn("_th", F.xxhash64("_t"))
+    taken = mix.pieces().groupBy("_id", "_th", "_key", "turn").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("_spans"))
+    rows = framed(docs, docs.columns, id_col, text_col)
     # repeated rows are matched one to one by their number among equals
-    again = Window.partitionBy("_id", "_th").orderBy("_row")
-    number = mix.rows.select("_id", "_th", "_row").withColumn("_k", F.row_number().over(again))
+    again = Window.partitionBy("_id", "_th").orderBy("_key")
+    number = mix.rows.select("_id", "_th", "_key").withColumn("_k", F.row_number().over(again))
     same = Window.partitionBy("_id", "_th").orderBy(F.lit(1))
     rows = rows.withColumn("_k", F.row_number().over(same))
-    taken = taken.join(number, ["_id", "_th", "_row"])
+    taken = taken.join(number, ["_id", "_th", "_key"])
     out = rows.join(taken, ["_id", "_th", "_k"])
     types = {f.name: f.dataType for f in docs.schema}
 
@@ -215,8 +215,8 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         return pd.Series(done, dtype=object)
 
     out = out.withColumn("_cut", cut("_t", "_spans"))
-    cols = [F.col("_cut").alias(c) if c == text_col else F.char_length("_cut").cast(types[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+    put = {text_col: F.col("_cut"), "n_chars": F.char_length("_cut")}
+    return out.select(*[put[c].cast(types[c]).alias(c) if c in put else x for c, x in zip(docs.columns, carried_out(docs.columns), strict=True)])
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:

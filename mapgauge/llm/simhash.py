@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import NULL_ID, durable, id_out, partitions, with_id
+from mapgauge.llm.common import NULL_ID, carried_out, durable, framed, id_out, partitions
 
 U = np.uint64
 FULL = U(0xFFFFFFFFFFFFFFFF)
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             v = np.array([fingerprint(t, words) if t else 0 for t in texts], U)
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(v.view(np.int64))], names=["_id", "fp"])
 
-    rows = with_id(docs, id_col).select("_id", F.col(text_col).cast("string").alias("_t"))
+    rows = framed(docs, [], id_col, text_col).select("_id", "_t")
     return rows.mapInArrow(run, "_id long, fp long")
 
 
@@ -287,8 +287,8 @@ def drop_near_copies(docs: DataFrame, most: int = 4, words: int = 4, id_col: str
     apart by text; of fully repeated rows one stays."""
     groups = simhash_groups(docs, most, words, id_col=id_col, text_col=text_col)
     first = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.coalesce(id_col, F.lit(NULL_ID)).alias("_id")).distinct()
-    rows = with_id(docs, id_col)
-    return rows.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    rows = framed(docs, docs.columns, id_col, text_col).select("_row", "_id")
+    return rows.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*carried_out(docs.columns))
 
 
 def op7_simhash(spark, sf_dir) -> DataFrame:

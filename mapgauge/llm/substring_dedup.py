@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapgauge.llm import blocks
-from mapgauge.llm.common import durable, partitions, text_of, with_id
+from mapgauge.llm.common import carried_out, durable, framed, partitions
 
 #: A perfect difference set; any two residues modulo PERIOD are moved into it by one common step.
 PERIOD = 31
@@ -178,7 +178,7 @@ def _first_holder(parts: int):
     return blocks.judge(decide)
 
 
-def _remove(window: int, names: list[str]):
+def _remove(window: int):
     def run(batches):
         for b in batches:
             starts, lens = b.column("starts").to_pylist(), b.column("lens").to_pylist()
@@ -200,7 +200,7 @@ def _remove(window: int, names: list[str]):
                 total.append(len(w))
                 removed.append(gone)
             text = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), text], names=[*names, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), text], names=["_row", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -209,7 +209,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     """_id, _th (the text's hash), and runs of starts of windows that also start in a document with a smaller id."""
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = with_id(docs, id_col).withColumn("_t", text_of(text_col)).select("_id", F.xxhash64("_t").alias("_th"), "_t")
+    rows = framed(docs, [], id_col, text_col).select("_id", "_th", "_t")
     asked = blocks.exchange(rows.mapInArrow(_anchors(window, n), blocks.BLOCKS), n)
     hits = blocks.exchange(asked.mapInArrow(_shared(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
     cand = rows.join(hits, ["_id", "_th"])
@@ -236,9 +236,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         raise ValueError(f"a window has {PERIOD} words at least")
     flags = durable(repeated_windows(docs, window, id_col, text_col))
     names = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept")]
-    rows = with_id(docs, id_col).withColumn("_t", text_of(text_col)).withColumn("_th", F.xxhash64("_t")).select(*names, "_id", "_th", "_t")
-    schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return rows.join(flags, ["_id", "_th"], "left").select(*names, "_t", "starts", "lens").mapInArrow(_remove(window, names), schema)
+    rows = framed(docs, names, id_col, text_col)
+    schema = rows.select("_row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return rows.join(flags, ["_id", "_th"], "left").select("_row", "_t", "starts", "lens").mapInArrow(_remove(window), schema).select(*carried_out(names), "n_words", "n_removed", "kept")
 
 
 def op8_substring_dedup(spark, sf_dir) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapgauge.llm import blocks
-from mapgauge.llm.common import durable, partitions, text_of, with_id
+from mapgauge.llm.common import carried_out, durable, framed, partitions
 from mapgauge.llm.substring_dedup import FLUSH, _Flush
 
 # --- suffix sorting -------------------------------------------------------------------------------------------
@@ -480,7 +480,7 @@ def _found_again(window: int, parts: int):
 # --- the operator ---------------------------------------------------------------------------------------------
 
 
-def _remove(window: int, names: list[str]):
+def _remove(window: int):
     def run(batches):
         for b in batches:
             starts, lens = b.column("starts").to_pylist(), b.column("lens").to_pylist()
@@ -498,7 +498,7 @@ def _remove(window: int, names: list[str]):
                 total.append(len(t))
                 removed.append(gone)
                 runs.append(n)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["_row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -506,7 +506,7 @@ def _remove(window: int, names: list[str]):
 def repeated_strings(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _th (the text's hash), and runs of starts of strings of `window` bytes that also start anywhere else."""
     n = partitions(docs.sparkSession)
-    rows = with_id(docs, id_col).withColumn("_t", text_of(text_col)).select("_id", F.xxhash64("_t").alias("_th"), "_t")
+    rows = framed(docs, [], id_col, text_col).select("_id", "_th", "_t")
     asked = blocks.exchange(rows.mapInArrow(_anchors(window, n), blocks.BLOCKS), n)
     hits = blocks.exchange(asked.mapInArrow(_shared(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
     cand = rows.join(hits, ["_id", "_th"])
@@ -531,9 +531,9 @@ def suffix_dedup(docs: DataFrame, window: int = 200, id_col: str = "doc_id", tex
     """
     flags = durable(repeated_strings(docs, window, id_col, text_col))
     names = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept")]
-    rows = with_id(docs, id_col).withColumn("_t", text_of(text_col)).withColumn("_th", F.xxhash64("_t")).select(*names, "_id", "_th", "_t")
-    schema = docs.select(*names).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return rows.join(flags, ["_id", "_th"], "left").select(*names, "_t", "starts", "lens").mapInArrow(_remove(window, names), schema)
+    rows = framed(docs, names, id_col, text_col)
+    schema = rows.select("_row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    return rows.join(flags, ["_id", "_th"], "left").select("_row", "_t", "starts", "lens").mapInArrow(_remove(window), schema).select(*carried_out(names), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
