@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mapgauge.functions import geo, text
-from mapgauge.operators import coords, coverage, metrics, pairs, sampling, stats
+from mapgauge.operators import coords, coverage, metrics, pairs, relational, sampling, stats
 from mapgauge.sources import connectors, readers
 
 QUERIES: dict = {}
@@ -747,6 +747,65 @@ def wide_to_long(spark, sf):
     return long.groupBy("event_type", "measure").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
 
+# --- small relational steps -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {PRED} SELECT event_id, predicted FROM pred WHERE event_id <= 1400 AND event_id IN (SELECT doc_id FROM labels) AND temperature IN (0.25, 1.0)")
+def id_filters(spark, sf):
+    """F1, F2, F9."""
+    allowed = table(spark, sf, "labels").select(F.col("doc_id").alias("event_id"))
+    p = relational.id_filter(predictions(spark, sf), "event_id", 1400, allowed)
+    return p.where(F.col("temperature").isin(0.25, 1.0)).select("event_id", "predicted")
+
+
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents), b AS (SELECT value, row_number() OVER (ORDER BY event_id) AS k FROM events)
+SELECT a.doc_id, a.k - 1 AS row, b.value FROM a LEFT JOIN b ON a.k = b.k""")
+def positional_assign(spark, sf):
+    """J14, W7."""
+    d = relational.row_number(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return relational.positional(d, table(spark, sf, "events").select("event_id", "value"), "doc_id", "event_id", "value")
+
+
+@query("""WITH l AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), r AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)
+SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN r.doc_id IS NULL THEN 'left' WHEN l.doc_id IS NULL THEN 'right' ELSE 'both' END AS place FROM l FULL JOIN r ON l.doc_id = r.doc_id""")
+def set_operations(spark, sf):
+    """U2, U3, U4."""
+    d = table(spark, sf, "labels")
+    return relational.set_operations(d.where("quality = 1"), d.where("toxic = 1"), "doc_id")
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name FROM customer ORDER BY c_custkey LIMIT 20")
+def numeric_id_order(spark, sf):
+    """O4, O5."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_name")
+    return relational.numeric_order(c, "id").limit(20)
+
+
+@query(f"""WITH {PRED}, l AS (SELECT truth, truth = predicted AS ok, CASE WHEN event_id % 11 = 0 THEN 'timeout' END AS err FROM pred)
+SELECT truth, count(*) AS total, count(*) FILTER (WHERE ok AND err IS NULL) AS correct, count(*) FILTER (WHERE NOT ok AND err IS NULL) AS incorrect,
+  count(*) FILTER (WHERE err IS NOT NULL) AS errors, round((count(*) FILTER (WHERE ok AND err IS NULL))::DOUBLE / count(*), 6) AS accuracy FROM l GROUP BY truth""")
+def log_statistics(spark, sf):
+    """A25."""
+    p = predictions(spark, sf).select("truth", (F.col("truth") == F.col("predicted")).alias("ok"), F.when(F.col("event_id") % 11 == 0, "timeout").alias("err"))
+    return rounded(relational.log_stats(p, "truth", "ok", "err"), "accuracy")
+
+
+@query(f"""WITH {PRED}, c AS (SELECT truth, temperature, avg((truth = predicted)::INT) AS acc, count(*) AS n FROM pred GROUP BY 1, 2),
+f AS (SELECT truth FROM c GROUP BY truth HAVING sum(n) >= 100)
+SELECT temperature, round(avg(acc), 6) AS mean_accuracy, count(*) AS labels FROM c WHERE truth IN (SELECT truth FROM f) GROUP BY temperature""")
+def metric_by_context(spark, sf):
+    """The mean of a metric by context, over frequent labels."""
+    c = predictions(spark, sf).groupBy("truth", "temperature").agg(metrics.accuracy("truth", "predicted").alias("acc"), F.count(F.lit(1)).alias("n"))
+    frequent = c.groupBy("truth").agg(F.sum("n").alias("n")).where("n >= 100").select("truth")
+    return c.join(frequent, "truth", "left_semi").groupBy("temperature").agg(r6(F.avg("acc"), "mean_accuracy"), F.count(F.lit(1)).alias("labels"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('7-' || doc_id), doc_id LIMIT 30")
+def shuffled_head(spark, sf):
+    """The head of a shuffle that is the same at each run."""
+    return sampling.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id", 7).limit(30)
+
+
 @query()
 def umeyama_align(spark, sf):
     """M5; property tests hold it."""
