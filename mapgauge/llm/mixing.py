@@ -113,10 +113,11 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], size: str) -> Dat
 class Mix:
     """A mix of sources. `rows`: the documents with their place; `sources`: sizes and targets; `pieces()`: what each output slot holds."""
 
-    def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256, shard_slots: int = 4096, seed: int = 7, id_col="doc_id", text_col="text", source_col="source"):
+    def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256, shard_slots: int | None = None, seed: int = 7, id_col="doc_id", text_col="text", source_col="source"):
         """Words are the tokens. A source's documents stand one after another and are cut into blocks of `block` words
         (fewer for a source of under 1024 blocks, so that a small source can come near its target too; its last
-        block may be shorter). Every output shard of shard_slots blocks draws its counts by source; slot i of a source
+        block may be shorter). Every output shard of shard_slots blocks (4096, or as many as leave 8192 shards: what the
+        driver draws is bounded) draws its counts by source; slot i of a source
         holds block p(i mod n) of its n blocks, p another permutation for each pass. A source gives at most `most` passes.
 
         Null source: a source of its own, the last. Null text: no words, and no place in the mix. Null ids and repeated
@@ -135,7 +136,7 @@ class Mix:
         lengths = [max(1, min(block, n // 1024)) for n in sizes]
         blocks = [-(-n // b) for n, b in zip(sizes, lengths, strict=True)]
         slots = [min(int(most * k), round(g / (n / k))) if n else 0 for g, n, k in zip(goal, sizes, blocks, strict=True)]
-        self.plan = draws(slots, shard_slots, seed)
+        self.plan = draws(slots, shard_slots or max(4096, -(-sum(slots) // 8192)), seed)
         self.seed = seed
         kinds = T.StructType([T.StructField("_name", T.StringType()), T.StructField("_s", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_len", T.LongType()), T.StructField("_blocks", T.LongType())])
         self.sources = spark.createDataFrame([(r["_source"], i, n, float(g), b, k) for i, (r, n, g, b, k) in enumerate(zip(found, sizes, goal, lengths, blocks, strict=True))], kinds)

@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
