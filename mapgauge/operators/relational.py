@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mapgauge.operators.durable import durable
+
 
 def id_filter(df: DataFrame, key: str, most: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """keys up to a bound (pushed to the scan) and in a list (a semi join); a null key passes neither."""
@@ -14,15 +18,27 @@ def id_filter(df: DataFrame, key: str, most: int | None = None, allowed: DataFra
     return df if allowed is None else df.join(allowed.select(key).distinct(), key, "left_semi")
 
 
-def row_number(df: DataFrame, *order: str, name: str = "row") -> DataFrame:
-    """Dense numbers from 0 in a stated total order. Rows are range-partitioned by the order and numbered within their
-    partition, on top of the partitions' sizes before it; no task sees all rows."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    rows = rows.withColumn("_in", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
-    sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+def row_number(df: DataFrame, *order, name: str = "row") -> DataFrame:
+    """Dense numbers from 0 in a stated total order. Rows are range-partitioned by the order, numbered within their
+    partition and written once (sampled splitters would differ if they were drawn again); the sizes of the partitions
+    before, a row for each, are added. No task sees all rows."""
+    keys = {f"_o{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(order)}
+    rows = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    rows = rows.withColumn("_p", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    rows = durable(rows)
+    sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_base") + F.col("_in")).drop("_p", "_m", "_in", "_base")
+    return rows.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_base") + F.col("_in")).drop("_p", "_in", "_base")
+
+
+def number_within(df: DataFrame, group: list[str], order: list, name: str = "row") -> DataFrame:
+    """Dense numbers from 0 within each group, and `<name>_of`, the group's size. A group of any size spans as many tasks as
+    it needs: rows are numbered over all groups, and a group's first number is taken off. A null group is a group."""
+    rows = row_number(df, *group, *order, name="_g")
+    first = rows.groupBy(*[F.col(c).alias(f"{c}__f") for c in group]).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias(f"{name}_of"))
+    on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(first[f"{c}__f"]) for c in group])
+    return rows.join(first, on).withColumn(name, F.col("_g") - F.col("_first")).drop("_g", "_first", *[f"{c}__f" for c in group])
 
 
 def positional(df: DataFrame, values: DataFrame, order: str, values_order: str, column: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mapgauge.operators.durable import durable
+from mapgauge.operators.relational import number_within
+
 
 def order_key(key, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string") if isinstance(key, str) else key.cast("string")))
@@ -51,17 +54,14 @@ def split_stratified(df: DataFrame, label: str, key: str, share: float = 0.3, se
     exact = F.col("_n") * total / n
     sizes = sizes.withColumn("_floor", F.floor(exact)).withColumn("_part", F.round(exact - F.floor(exact), 9)).withColumn("_left", total - F.sum(F.floor(exact)).over(Window.partitionBy()))
     sizes = sizes.withColumn("_quota", F.col("_floor") + F.when(F.row_number().over(Window.orderBy(F.desc("_part"), label)) <= F.col("_left"), 1).otherwise(0))
-    w = Window.partitionBy(label).orderBy(order_key(key, seed), key)
-    rows = df.withColumn("_k", F.row_number().over(w)).join(F.broadcast(sizes.select(F.col(label).alias("_label"), "_quota")), F.col(label).eqNullSafe(F.col("_label")))  # a row for each label
+    rows = number_within(df, [label], [order_key(key, seed), key], "_k").withColumn("_k", F.col("_k") + 1).join(F.broadcast(sizes.select(F.col(label).alias("_label"), "_quota")), F.col(label).eqNullSafe(F.col("_label")))  # a row for each label
     return rows.withColumn("split", F.when(F.col("_k") <= F.col("_quota"), "eval").otherwise("finetune")).select(*df.columns, "split")
 
 
 def split_by_group(df: DataFrame, group: str, key: str, share: float = 0.3, seed: int = 42) -> DataFrame:
     """floor(share * size) rows of each group (file) are 'eval'."""
-    w = Window.partitionBy(group).orderBy(order_key(key, seed), key)
-    size = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    rows = df.withColumn("_k", F.row_number().over(w)).join(size, group)
-    return rows.withColumn("split", F.when(F.col("_k") <= F.floor(F.col("_n") * share), "eval").otherwise("finetune")).select(*df.columns, "split")
+    rows = number_within(df, [group], [order_key(key, seed), key], "_k")
+    return rows.withColumn("split", F.when(F.col("_k") < F.floor(F.col("_k_of") * share), "eval").otherwise("finetune")).select(*df.columns, "split")
 
 
 def oversample(df: DataFrame, label: str, key: str, least: int = 50, seed: int = 42) -> DataFrame:
@@ -79,13 +79,11 @@ def oversample(df: DataFrame, label: str, key: str, least: int = 50, seed: int =
 
 def exemplars(df: DataFrame, key: str, k: int, *group: str, seed: int = 42) -> DataFrame:
     """For each row k other rows of its group, itself excluded (all where there are fewer): the next ones on a ring
-    ordered by md5(seed-key). One window by group and no pairs; columns: key, exemplar, place."""
-    w = Window.partitionBy(*group).orderBy(order_key(key, seed), key)
-    rows = df.select(*group, key).withColumn("_k", F.row_number().over(w) - 1)
-    size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    ask = rows.join(size, list(group)).withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(k)))).where(F.col("place") < F.col("_n"))
+    ordered by md5(seed-key). Two sorts and no pairs; rows of a null group have none; columns: key, exemplar, place."""
+    rows = durable(number_within(df.select(*group, key), list(group), [order_key(key, seed), key], "_k").withColumnRenamed("_k_of", "_n"))
+    ask = rows.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(k)))).where(F.col("place") < F.col("_n"))
     ask = ask.select(*group, F.col(key).alias("_key"), "place", F.pmod(F.col("_k") + F.col("place"), F.col("_n")).alias("_k"))
-    got = ask.join(rows.withColumnRenamed(key, "exemplar"), [*group, "_k"])
+    got = ask.join(rows.drop("_n").withColumnRenamed(key, "exemplar"), [*group, "_k"])
     return got.select(*group, F.col("_key").alias(key), "place", "exemplar")
 
 

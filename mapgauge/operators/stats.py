@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mapgauge.operators.durable import durable
+from mapgauge.operators.relational import number_within
+
 
 def profile(df: DataFrame, columns) -> DataFrame:
     """Count, mean, median, deviation, min and max of each numeric column, in one pass; std is null for one value."""
@@ -51,10 +54,8 @@ def ranked(df: DataFrame, value: str, *group: str) -> DataFrame:
 
 def ecdf(df: DataFrame, value: str, order: str, *group: str) -> DataFrame:
     """Rows with their step: row number by (value, order) over the group's rows; ties keep separate steps."""
-    w = Window.partitionBy(*group).orderBy(value, order)
-    size = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w))
-    return rows.join(F.broadcast(size), list(group)).withColumn("ecdf", F.col("_k") / F.col("_size")).drop("_k", "_size")
+    rows = number_within(df.where(F.col(value).isNotNull()), list(group), [value, order], "_k")
+    return rows.withColumn("ecdf", (F.col("_k") + 1) / F.col("_k_of")).drop("_k", "_k_of")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50, zero: float | None = None) -> DataFrame:
@@ -120,9 +121,8 @@ def bootstrap_median_difference(df: DataFrame, value: str, side: str, first, sec
     """Median difference over resamples with replacement: percentiles 2.5, 50 and 97.5. Row k of a resample is the row
     whose rank is a hash of (seed, rep, k); the two sides are given as ranks, so the draw is an equi-join."""
     rows = df.where(F.col(side).isin(first, second) & F.col(value).isNotNull()).select(F.col(side).alias("_s"), F.col(value).cast("double").alias("_v"), F.col(key).alias("_k"))
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("_k", "_v")) - 1)
-    sizes = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    draws = rows.select("_s", "_r").join(F.broadcast(sizes), "_s").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    rows = durable(number_within(rows, ["_s"], ["_k", "_v"], "_r").withColumnRenamed("_r_of", "_n"))
+    draws = rows.select("_s", "_r", "_n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     draws = draws.withColumn("_pick", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "rep", "_s", "_r")), 1, 12), 16, 10).cast("long"), F.col("_n")))
     got = draws.select("_s", "rep", F.col("_pick").alias("_r")).join(rows.select("_s", "_r", "_v"), ["_s", "_r"])
     m = got.groupBy("rep").agg(F.median(F.when(F.col("_s") == first, F.col("_v"))).alias("a"), F.median(F.when(F.col("_s") == second, F.col("_v"))).alias("b"))
