@@ -28,7 +28,16 @@ def durable(df: DataFrame) -> DataFrame:
     atexit.register(_remove, spark, path)
     del df  # with the plan its shuffle files can go
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that durable() wrote, once nothing reads it any more; other frames are left alone."""
+    path = getattr(df, "_durable_path", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
