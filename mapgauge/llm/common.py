@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapgauge.operators.durable import durable, release, shared_dir
+from mapgauge.operators.durable import discard, durable, release, shared_dir
 
-__all__ = ["NULL_ID", "carried_out", "durable", "framed", "id_out", "lower_ascii", "partitions", "read", "release", "shared_dir", "text_of", "with_id"]
+__all__ = ["NULL_ID", "carried_out", "discard", "durable", "framed", "id_out", "lower_ascii", "partitions", "read", "release", "shared_dir", "text_of", "with_id"]
 
 #: Stands for a null identifier inside an operator; it sorts before every other one.
 NULL_ID = -(2**63)

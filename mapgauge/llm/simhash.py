@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import NULL_ID, carried_out, durable, framed, id_out, partitions
+from mapgauge.llm.common import NULL_ID, carried_out, discard, durable, framed, id_out, partitions
 
 U = np.uint64
 FULL = U(0xFFFFFFFFFFFFFFFF)
@@ -255,7 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = durable(small)
+        before, now = now, durable(small)
+        discard(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
