@@ -14,7 +14,12 @@ from mapgauge.llm.common import carried_out, durable, framed, partitions
 #: A perfect difference set; any two residues modulo PERIOD are moved into it by one common step.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-FLUSH = 1 << 21
+
+
+def flush_at(parts: int) -> int:
+    """Entries that a task gathers before it deals them out: some thousands for each part, so that blocks stay small rows."""
+    return max(1 << 18, min(1 << 21, parts << 13))
+
 
 
 def _split(text: bytes) -> list[bytes]:
@@ -96,7 +101,7 @@ def _anchors(window: int, parts: int):
                 at = np.flatnonzero(ok)
                 key = blocks.Rolling(_symbols(words)).at(at, at + width)
                 f.add(ids[part], ths[part], doc[at], key, pos[at])
-                if f.n >= FLUSH:
+                if f.n >= flush_at(parts):
                     yield from out(f)
         if f.n:
             yield from out(f)
@@ -157,7 +162,7 @@ def _windows(window: int, parts: int):
                 key = blocks.Rolling(symbols).at(at, at + window)
                 extra = (blocks.Rolling(symbols, 1).at(at, at + window) >> np.uint64(32)).astype(np.uint32)
                 f.add(ids[part], ths[part], doc, key, extra, pos)
-                if f.n >= FLUSH:
+                if f.n >= flush_at(parts):
                     yield from out(f)
         if f.n:
             yield from out(f)
@@ -212,7 +217,9 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     rows = framed(docs, [], id_col, text_col).select("_id", "_th", "_t")
     asked = blocks.exchange(rows.mapInArrow(_anchors(window, n), blocks.BLOCKS), n)
     hits = blocks.exchange(asked.mapInArrow(_shared(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
-    cand = rows.join(hits, ["_id", "_th"])
+    del asked
+    hits = durable(hits)
+    cand = rows.hint("merge").join(hits, ["_id", "_th"])
     asked = blocks.exchange(cand.mapInArrow(_windows(window, n), blocks.BLOCKS), n)
     return blocks.exchange(asked.mapInArrow(_first_holder(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
 
@@ -238,7 +245,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     names = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept")]
     rows = framed(docs, names, id_col, text_col)
     schema = rows.select("_row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return rows.join(flags, ["_id", "_th"], "left").select("_row", "_t", "starts", "lens").mapInArrow(_remove(window), schema).select(*carried_out(names), "n_words", "n_removed", "kept")
+    return rows.hint("merge").join(flags, ["_id", "_th"], "left").select("_row", "_t", "starts", "lens").mapInArrow(_remove(window), schema).select(*carried_out(names), "n_words", "n_removed", "kept")
 
 
 def op8_substring_dedup(spark, sf_dir) -> DataFrame:
@@ -246,3 +253,17 @@ def op8_substring_dedup(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+u AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM w),
+x AS (SELECT doc_id, pos, word, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS win FROM u
+      WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT win, min(doc_id) AS d FROM x WHERE n = 50 GROUP BY win),
+y AS (SELECT x.doc_id, pos, word, coalesce(m.d < x.doc_id, false) AS hit FROM x LEFT JOIN m ON x.win = m.win AND x.n = 50),
+z AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM y),
+g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM z GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+"""
