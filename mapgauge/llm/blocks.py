@@ -206,3 +206,25 @@ class Rolling:
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self.sum[end] - self.sum[start]) * self.inverse[start])
+
+
+class RollingWithin:
+    """Rolling over many short sequences that lie end to end: codes are places in a table of symbols, within is each one's
+    place in its own sequence. Only powers up to the longest sequence are needed, and the sums are made in bounded parts."""
+
+    def __init__(self, table: np.ndarray, codes: np.ndarray, within: np.ndarray, k: int = 0, part: int = 1 << 20):
+        n = len(codes)
+        power, self.inverse = _power(k, int(within.max(initial=0)) + 2)
+        self.within = within
+        self.sum = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for a in range(0, n, part):
+                z = min(n, a + part)
+                own = table[codes[a:z]] * power[within[a:z]]
+                np.cumsum(own, out=own)
+                own += self.sum[a]
+                self.sum[a + 1 : z + 1] = own
+
+    def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.sum[end] - self.sum[start]) * self.inverse[self.within[start]])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapgauge.llm import blocks
 from mapgauge.llm.common import carried_out, durable, framed, partitions
-from mapgauge.llm.substring_dedup import FLUSH, _Flush
+from mapgauge.llm.substring_dedup import _Flush, flush_at
 
 # --- suffix sorting -------------------------------------------------------------------------------------------
 
@@ -219,11 +219,11 @@ def _anchors(window: int, parts: int):
                 pos = w.anchor - w.base[w.doc] + np.array(offset)[w.doc]
                 doc = np.array(part)[w.doc]
                 # the overlap of two pieces of one text may name a place twice
-                key = w.hash[w.anchor]
+                key = blocks.mix(w.hash[w.anchor])  # smallest hashes lie close together; parts want them spread
                 once = np.ones(len(doc), bool)
                 once[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
                 f.add(ids, ths, doc[once], key[once], pos[once])
-                if f.n >= FLUSH:
+                if f.n >= flush_at(parts):
                     yield from out(f)
         if f.n:
             yield from out(f)
@@ -247,7 +247,9 @@ def _shared(parts: int):
 # --- contexts: an anchor with all windows around it -----------------------------------------------------------
 
 
-def _contexts(window: int, parts: int, most: int = 1 << 25):
+def _contexts(window: int, parts: int):
+    most = max(1 << 22, min(1 << 25, parts << 17))  # bytes of contexts that a task gathers before it deals them out
+
     def out(held, ids, ths):
         key, digest, extra, text, off, doc, start = (np.concatenate([h[k] for h in held]) if k != 3 else [t for h in held for t in h[3]] for k in range(7))
         order = np.lexsort((extra, digest, off, key))
@@ -296,11 +298,11 @@ def _contexts(window: int, parts: int, most: int = 1 << 25):
                 if not take.size:
                     continue
                 a, z = w.first[take], w.first[take] + w.windows[take] - 1 + window
-                roll, extra = blocks.Rolling(_BYTE[w.flat]), blocks.Rolling(_BYTE[w.flat], 1)
+                roll, extra = (blocks.Rolling(_BYTE[w.flat], k) for k in (0, 1))
                 raw = w.flat.tobytes()
                 text = [raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)]
                 d = w.doc[take]
-                held.append((w.hash[w.anchor[take]], roll.at(a, z), extra.at(a, z), text, w.anchor[take] - a, np.array(part)[d] + docs, a - w.base[d] + np.array(offset)[d]))
+                held.append((blocks.mix(w.hash[w.anchor[take]]), roll.at(a, z), extra.at(a, z), text, w.anchor[take] - a, np.array(part)[d] + docs, a - w.base[d] + np.array(offset)[d]))
                 n += int((z - a).sum())
                 if n >= most:
                     yield from out(held, np.concatenate(names), np.concatenate(hashes))
@@ -313,7 +315,9 @@ def _contexts(window: int, parts: int, most: int = 1 << 25):
 
 #: Contexts that are sorted together at most; a larger group is first parted by what its windows must share.
 TOGETHER = 12
-_SORT = 1 << 21
+_SORT = 1 << 19
+#: Bytes of contexts that a task works on at a time; a larger group is worked on alone.
+_WORK = 1 << 20
 
 
 def repeated_in_contexts(key: np.ndarray, off: np.ndarray, flat: np.ndarray, begin: np.ndarray, length: np.ndarray, weight: np.ndarray, window: int) -> np.ndarray:
@@ -329,7 +333,8 @@ def repeated_in_contexts(key: np.ndarray, off: np.ndarray, flat: np.ndarray, beg
     count = length - window + 1
     out_at = np.cumsum(count) - count
     found = np.zeros(int(count.sum()), bool)
-    one, two = blocks.Rolling(_BYTE[flat]), blocks.Rolling(_BYTE[flat], 1)
+    within = blocks.spans(np.zeros(len(length), np.int64), length).astype(np.int32)
+    one, two = blocks.RollingWithin(_BYTE, flat, within), blocks.RollingWithin(_BYTE, flat, within, 1)
     anchor = begin + off
     # sub-contexts: context, and the range of distances of window starts before the anchor
     ctx = np.arange(len(key))
@@ -390,7 +395,11 @@ def _sort(job, found, out_at, off, anchor, flat, window, one, two) -> None:
     order, copies, rep, ready, x, y, name, ctx = job
     use = rep[ready]  # sorted by group
     start = anchor[ctx[use]] - y[use]
-    size = (y - x)[use] + window
+    half = window // 2
+    before, after = y[use], (window - half) - x[use]
+    # the anchor, which all contexts of a group share and all their windows hold, is one symbol
+    size = before + 1 + after
+    span = (y - x)[use] + 1
     g = name[use]
     head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     many = np.diff(np.append(head, len(g)))
@@ -407,23 +416,23 @@ def _sort(job, found, out_at, off, anchor, flat, window, one, two) -> None:
         groups = by[a:z]
         a = z
         own = blocks.spans(head[groups], many[groups])
-        own_size = size[own]
-        # each context and a 1, each text and a 0; a 0 before the first
+        own_size, lead = size[own], before[own]
+        # each context and a 1, each text and a 0; a 0 before the first; an anchor is a 2
         last = np.cumsum(many[groups]) - 1
         gap = np.ones(len(own), np.int64)
         gap[last] = 2
         begin = 1 + np.cumsum(own_size + gap) - (own_size + gap)
         s = np.ones(1 + int((own_size + gap).sum()), np.int64)
         s[0] = 0
-        places = blocks.spans(begin, own_size)
-        source = blocks.spans(start[own], own_size)
-        s[places] = flat[source].astype(np.int64) + 2
+        s[blocks.spans(begin, lead)] = flat[blocks.spans(start[own], lead)].astype(np.int64) + 3
+        s[begin + lead] = 2
+        s[blocks.spans(begin + lead + 1, after[own])] = flat[blocks.spans(start[own] + lead + half, after[own])].astype(np.int64) + 3
         ends = begin[last] + own_size[last] + 2
         s[ends - 1] = 0
         t_begin = np.concatenate([[1], ends[:-1]])
         rank = suffix_ranks(s, t_begin, ends)
         # windows in suffix order; neighbours that share a window
-        k = own_size - window + 1
+        k = span[own]
         w = blocks.spans(begin, k)
         src = blocks.spans(start[own], k)
         text = np.repeat(np.repeat(np.arange(len(groups)), many[groups]), k)
@@ -456,23 +465,38 @@ def _found_again(window: int, parts: int):
         key, ids, ths, start, off, length, known, flat = (np.concatenate([b[k] for b in asked]) for k in (0, 2, 3, 4, 5, 6, 7, 8))
         doc = np.concatenate([b[1].astype(np.int64) + base[i] for i, b in enumerate(asked)])
         asked.clear()
-        off, length = off.astype(np.int64), length.astype(np.int64)
+        start, off, length = start.astype(np.int64), off.astype(np.int64), length.astype(np.int64)
         begin = np.cumsum(length) - length
-        hit = repeated_in_contexts(key, off, flat, begin, length, 1 + known.astype(np.int64), window)
-        count = length - window + 1
-        at = np.cumsum(count) - count
-        need = known == 0  # the others were answered where they were met
-        hit &= np.repeat(need, count)
-        if not hit.any():
-            return
-        owner = np.repeat(np.arange(len(count)), count)
-        on = np.flatnonzero(hit)
-        new = np.ones(len(on), bool)
-        new[1:] = (on[1:] != on[:-1] + 1) | (owner[on][1:] != owner[on][:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(on)))
-        o = owner[on[first]]
-        yield from blocks.answers(parts, doc[o], ids, ths, start[o].astype(np.int64) + on[first] - at[o], size)
+        order = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        size = np.add.reduceat(length[order], head)
+        head = np.append(head, len(order))
+        a = 0
+        while a < len(size):  # whole groups, about _WORK bytes of them
+            z, n = a + 1, int(size[a])
+            while z < len(size) and n + size[z] <= _WORK:
+                n += int(size[z])
+                z += 1
+            own = order[head[a] : head[z]]
+            a = z
+            if len(own) == 1:
+                continue
+            part = flat[blocks.spans(begin[own], length[own])]
+            at = np.cumsum(length[own]) - length[own]
+            hit = repeated_in_contexts(key[own], off[own], part, at, length[own], 1 + known[own].astype(np.int64), window)
+            count = length[own] - window + 1
+            hit &= np.repeat(known[own] == 0, count)  # the others were answered where they were met
+            on = np.flatnonzero(hit)
+            if not on.size:
+                continue
+            owner = np.repeat(np.arange(len(own)), count)
+            new = np.ones(len(on), bool)
+            new[1:] = (on[1:] != on[:-1] + 1) | (owner[on][1:] != owner[on][:-1])
+            first = np.flatnonzero(new)
+            runs = np.diff(np.append(first, len(on)))
+            w = owner[on[first]]
+            o = own[w]
+            yield from blocks.answers(parts, doc[o], ids, ths, start[o] + on[first] - (np.cumsum(count) - count)[w], runs)
 
     return blocks.judge(decide)
 
@@ -509,7 +533,9 @@ def repeated_strings(docs: DataFrame, window: int = 200, id_col: str = "doc_id",
     rows = framed(docs, [], id_col, text_col).select("_id", "_th", "_t")
     asked = blocks.exchange(rows.mapInArrow(_anchors(window, n), blocks.BLOCKS), n)
     hits = blocks.exchange(asked.mapInArrow(_shared(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
-    cand = rows.join(hits, ["_id", "_th"])
+    del asked
+    hits = durable(hits)
+    cand = rows.hint("merge").join(hits, ["_id", "_th"])
     asked = blocks.exchange(cand.mapInArrow(_contexts(window, n), blocks.BLOCKS), n)
     return blocks.exchange(asked.mapInArrow(_found_again(window, n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
 
@@ -533,7 +559,7 @@ def suffix_dedup(docs: DataFrame, window: int = 200, id_col: str = "doc_id", tex
     names = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept")]
     rows = framed(docs, names, id_col, text_col)
     schema = rows.select("_row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return rows.join(flags, ["_id", "_th"], "left").select("_row", "_t", "starts", "lens").mapInArrow(_remove(window), schema).select(*carried_out(names), "n_bytes", "n_removed", "n_spans", "kept")
+    return rows.hint("merge").join(flags, ["_id", "_th"], "left").select("_row", "_t", "starts", "lens").mapInArrow(_remove(window), schema).select(*carried_out(names), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
