@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import carried_out, framed, lower_ascii
+from mapgauge.llm.common import carried_out, durable, framed, lower_ascii
 
 #: The white space that a line's key loses at its ends.
 BLANK = " \t\n\x0b\x0c\r"
@@ -25,8 +25,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     n_lines and n_dropped replace columns so called.
 
     A key is carried as two 64-bit hashes of different seeds. The first aggregate combines before its shuffle, so
-    a line held by a third of all documents reaches the reducers once a map task; the join that follows is one
-    that adaptive execution splits where it is skewed; no group of documents is ever gathered.
+    a line held by a third of all documents reaches the reducers once a map task; the keys it finds are written to the
+    shared folder, and the join with them is one that adaptive execution splits where it is skewed.
     """
     carried = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     rows = framed(docs, carried, id_col, text_col).withColumn("_lines", F.split("_t", "\n"))
@@ -44,8 +44,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
             found.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one"))
             .groupBy("_h1", "_h2").agg(F.min("_id").alias("_keep"), F.sum("_one").alias("_docs")).where(F.col("_docs") >= min_docs)
         )
+    repeated = durable(repeated.select("_h1", "_h2", "_keep"))  # a table of its own, so that the join below can be split
     drop = (
-        found.join(repeated.select("_h1", "_h2", "_keep"), ["_h1", "_h2"])
+        found.join(repeated, ["_h1", "_h2"])
         .where("_id > _keep")
         .groupBy("_id", "_th")
         .agg(F.collect_set("_pos").alias("_drop"))
