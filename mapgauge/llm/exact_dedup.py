@@ -17,7 +17,7 @@ _RUNS = "_id long, text_sha256 string, part int, run long, size long, keep long,
 
 def _runs(largest: bool):
     def scan(batches):
-        """Rows come sorted by (text, id). Of a run of equal texts only the identifiers are held, never the texts."""
+        """Rows come sorted, equal texts together. Of a run of equal texts only the identifiers are held, never the texts."""
         from pyspark import TaskContext
 
         part, run, last, sha, ids = TaskContext.get().partitionId(), -1, None, "", []
@@ -65,8 +65,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     with the largest (or keep='smallest') id stays; a null id sorts before all others; of rows that repeat the id
     that stays, one is kept. Other columns, whatever their names, play no part. An empty table gives no rows.
 
-    The sort key is (text, id), so the sampled splitters also cut through a group of copies: a text that a third
-    of all rows share is spread over as many tasks as its rows need. Each task compares neighbours in full and
+    The sort key is (first 32 characters, hash, text, id), so equal texts stand together and the sampled splitters, which
+    hold no whole texts, also cut through a group of copies: a text that a third of all rows share is spread over as
+    many tasks as its rows need. Each task compares neighbours in full and
     closes its runs; only a partition's first and last run, two rows each, are stitched across partitions.
     """
     if keep not in ("largest", "smallest"):
@@ -74,8 +75,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = framed(docs, [], id_col, text_col).select("_id", lower_ascii(F.col("_t")).alias("_norm"))
     n = partitions(spark)
-    ordered = rows.repartitionByRange(n, "_norm", "_id").sortWithinPartitions("_norm", "_id")
-    runs = durable(ordered.mapInArrow(_runs(keep == "largest"), _RUNS))
+    rows = rows.withColumn("_head", F.substring("_norm", 1, 32)).withColumn("_h", F.xxhash64("_norm"))
+    ordered = rows.repartitionByRange(n, "_head", "_h", "_id").sortWithinPartitions("_head", "_h", "_norm", "_id")
+    runs = durable(ordered.select("_id", "_norm").mapInArrow(_runs(keep == "largest"), _RUNS))
     pick = F.max if keep == "largest" else F.min
     edges = runs.where("edge").groupBy("part", "run", "text_sha256").agg(F.count(F.lit(1)).alias("size"), pick("keep").alias("keep"))
     whole = edges.groupBy("text_sha256").agg(F.sum("size").alias("all_size"), pick("keep").alias("all_keep"))
