@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def durable(df: DataFrame, large: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors. large: much
+    was shuffled for it; waits until the session has heard that the plan is gone before its files are let go."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     del df  # with the plan its shuffle files can go
-    release(spark)
+    release(spark, 1.0 if large else 0.0)
     out = spark.read.schema(schema).parquet(path)
     out._durable_path = path
     return out
@@ -49,7 +51,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+def release(spark: SparkSession, wait: float = 0.0) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more. The gateway tells the JVM of
+    objects that are gone in a thread of its own, hence the wait."""
     gc.collect()
+    time.sleep(wait)
     spark._jvm.System.gc()
+    time.sleep(wait / 2)
