@@ -216,9 +216,9 @@ def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     n = partitions(spark)
     rows = framed(docs, [], id_col, text_col).select("_id", "_th", "_t")
     asked = blocks.exchange(rows.mapInArrow(_anchors(window, n), blocks.BLOCKS), n)
-    hits = blocks.exchange(asked.mapInArrow(_shared(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
+    hits = [blocks.exchange(asked.mapInArrow(_shared(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)]
     del asked
-    hits = durable(hits)
+    hits = durable(hits.pop(), large=True)
     cand = rows.hint("merge").join(hits, ["_id", "_th"])
     asked = blocks.exchange(cand.mapInArrow(_windows(window, n), blocks.BLOCKS), n)
     return blocks.exchange(asked.mapInArrow(_first_holder(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
@@ -241,7 +241,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
-    flags = durable(repeated_windows(docs, window, id_col, text_col))
+    flags = durable(repeated_windows(docs, window, id_col, text_col), large=True)
     names = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept")]
     rows = framed(docs, names, id_col, text_col)
     schema = rows.select("_row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")

@@ -532,9 +532,9 @@ def repeated_strings(docs: DataFrame, window: int = 200, id_col: str = "doc_id",
     n = partitions(docs.sparkSession)
     rows = framed(docs, [], id_col, text_col).select("_id", "_th", "_t")
     asked = blocks.exchange(rows.mapInArrow(_anchors(window, n), blocks.BLOCKS), n)
-    hits = blocks.exchange(asked.mapInArrow(_shared(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
+    hits = [blocks.exchange(asked.mapInArrow(_shared(n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)]
     del asked
-    hits = durable(hits)
+    hits = durable(hits.pop(), large=True)
     cand = rows.hint("merge").join(hits, ["_id", "_th"])
     asked = blocks.exchange(cand.mapInArrow(_contexts(window, n), blocks.BLOCKS), n)
     return blocks.exchange(asked.mapInArrow(_found_again(window, n), blocks.BLOCKS), n).mapInArrow(blocks.gather, blocks.FOUND)
@@ -555,7 +555,7 @@ def suffix_dedup(docs: DataFrame, window: int = 200, id_col: str = "doc_id", tex
     What a flush of a task knows to be repeated it answers at once and asks only once, so a passage in a third of all
     rows reaches its part a few times a task.
     """
-    flags = durable(repeated_strings(docs, window, id_col, text_col))
+    flags = durable(repeated_strings(docs, window, id_col, text_col), large=True)
     names = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept")]
     rows = framed(docs, names, id_col, text_col)
     schema = rows.select("_row").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
