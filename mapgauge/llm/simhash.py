@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import NULL_ID, carried_out, discard, durable, framed, id_out, partitions
+from mapgauge.llm.common import carried_out, discard, durable, framed, id_out, partitions
 
 U = np.uint64
 FULL = U(0xFFFFFFFFFFFFFFFF)
@@ -37,17 +37,17 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42, part: int = 1 << 15
     return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`_id` and `fp` (a long with the fingerprint's bits) for each row; null text: 0."""
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", kept: tuple[str, ...] = ("_id",)) -> DataFrame:
+    """`_id` (or what `kept` names of `_id` and `_th`) and `fp` (a long with the fingerprint's bits) for each row; null text: 0."""
 
     def run(batches):
         for b in batches:
             texts = b.column("_t").cast(pa.binary()).to_pylist()
             v = np.array([fingerprint(t, words) if t else 0 for t in texts], U)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(v.view(np.int64))], names=["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(v.view(np.int64))], names=[*kept, "fp"])
 
-    rows = framed(docs, [], id_col, text_col).select("_id", "_t")
-    return rows.mapInArrow(run, "_id long, fp long")
+    rows = framed(docs, [], id_col, text_col).select(*kept, "_t")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*kept, "fp")))
 
 
 # --- the index ------------------------------------------------------------------------------------------------
@@ -283,13 +283,16 @@ def simhash_groups(docs: DataFrame, most: int = 4, words: int = 4, cap: int = 40
     return out.select(id_out().alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_out("component").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, most: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row for each component: that of the smallest id; all columns stay. Rows that repeat an id are told
-    apart by text; of fully repeated rows one stays."""
-    groups = simhash_groups(docs, most, words, id_col=id_col, text_col=text_col)
-    first = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.coalesce(id_col, F.lit(NULL_ID)).alias("_id")).distinct()
-    rows = framed(docs, docs.columns, id_col, text_col).select("_row", "_id")
-    return rows.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*carried_out(docs.columns))
+def drop_near_copies(docs: DataFrame, most: int = 4, words: int = 4, cap: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each component: that of the smallest (id, text hash); all columns stay. Components are of
+    fingerprints, so rows that repeat an id, or have none, are told apart by text; of rows that repeat both one stays."""
+    fps = durable(fingerprints(docs, words, id_col, text_col, kept=("_id", "_th")))
+    classes = durable(fps.groupBy("fp").agg(F.min(F.struct("_id", "_th")).alias("first")))
+    spread = buckets(classes.select("fp"), most, cap).repartition(partitions(docs.sparkSession), "mask", "value")
+    found = components(spread.mapInArrow(_links(most), "a long, b long").distinct()).withColumnRenamed("node", "fp")
+    first = classes.join(found, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first")).select("first.*")
+    rows = framed(docs, docs.columns, id_col, text_col).select("_row", "_id", "_th")
+    return rows.join(first, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*carried_out(docs.columns))
 
 
 def op7_simhash(spark, sf_dir) -> DataFrame:
