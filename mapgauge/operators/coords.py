@@ -22,7 +22,7 @@ def align(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return r, my - s * (r @ mx), s
 
 
-def smacof(d: np.ndarray, start: np.ndarray, rounds: int = 3000, eps: float = 1e-5, metric: bool = True) -> np.ndarray:
+def smacof(d: np.ndarray, start: np.ndarray, rounds: int = 30000, eps: float = 1e-5, metric: bool = True) -> np.ndarray:
     """Multidimensional scaling of a distance matrix by majorisation, from a given start. metric=False replaces distances
     by the monotone fit to their order."""
     n, x, last = len(d), start.astype(float).copy(), None

@@ -117,7 +117,7 @@ def normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def bootstrap_median_difference(df: DataFrame, value: str, side: str, first, second, key: str, reps: int = 200, seed: int = 0) -> DataFrame:
+def bootstrap_median_difference(df: DataFrame, value: str, side: str, first, second, key: str, reps: int = 2000, seed: int = 0) -> DataFrame:
     """Median difference over resamples with replacement: percentiles 2.5, 50 and 97.5. Row k of a resample is the row
     whose rank is a hash of (seed, rep, k); the two sides are given as ranks, so the draw is an equi-join."""
     rows = df.where(F.col(side).isin(first, second) & F.col(value).isNotNull()).select(F.col(side).alias("_s"), F.col(value).cast("double").alias("_v"), F.col(key).alias("_k"))

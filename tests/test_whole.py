@@ -1,7 +1,13 @@
 """Queries that take in all rows, against brute force. The SQL of these queries holds a cut and is left as it is."""
 
+import hashlib
+import inspect
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
+from mapgauge.operators import coords
 from mapgauge.plans import queries as plans
 
 
@@ -12,3 +18,18 @@ def test_coverage_by_temp_looks_at_all_answers(spark, sf):
     want = {u: (",".join(str(int(t * 100)) for t in (0.25, 0.5, 1.0) if t not in h), {0.25, 0.5, 1.0} <= h) for u, h in have.items()}
     got = {r["user_id"]: (r["missing"], r["complete"]) for r in plans.QUERIES["coverage_by_temp"](spark, sf).collect()}
     assert got == want
+
+
+def test_bootstrap_takes_2000_resamples(spark, sf):
+    sides = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/events.parquet").where("event_type in ('click', 'view') and value is not null").collect():
+        sides[r["event_type"]].append((r["event_id"], r["value"]))
+    sides = {s: np.array([v for _, v in sorted(x)]) for s, x in sides.items()}
+    middle = lambda s, v, rep: np.median(v[[int(hashlib.md5(f"0-{rep}-{s}-{k}".encode()).hexdigest()[:12], 16) % len(v) for k in range(len(v))]])
+    x = [middle("click", sides["click"], rep) - middle("view", sides["view"], rep) for rep in range(2000)]
+    got = plans.QUERIES["bootstrap_median_diff"](spark, sf).first()
+    assert [got["low"], got["median"], got["high"]] == pytest.approx(np.quantile(x, [0.025, 0.5, 0.975]).tolist(), abs=2e-6)
+
+
+def test_scaling_rounds():
+    assert inspect.signature(coords.smacof).parameters["rounds"].default == 30000
