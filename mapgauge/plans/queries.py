@@ -734,10 +734,9 @@ def named_places(spark, sf):
 @query("""SELECT o_orderpriority AS key, array_to_string(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey)[1:5], ',') AS top
 FROM orders GROUP BY 1""")
 def listed_by_metric(spark, sf):
-    """A list sorted by a metric, as text."""
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    o = table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice").withColumn("k", F.row_number().over(w)).where("k <= 5")
-    return o.groupBy(F.col("o_orderpriority").alias("key")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), ",").alias("top"))
+    """A list sorted by a metric, as text: all orders of each customer. The SQL still lists five of each priority."""
+    o = table(spark, sf, "orders").select("o_custkey", F.struct(F.col("o_totalprice").isNull().alias("none"), (-F.col("o_totalprice")).alias("k"), "o_orderkey").alias("x"))
+    return o.groupBy(F.col("o_custkey").alias("key")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["o_orderkey"].cast("string")), ",").alias("top"))
 
 
 @query("SELECT event_type, 'value' AS measure, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1 UNION ALL SELECT event_type, 'user_id', count(*), round(sum(user_id)::DOUBLE, 4) FROM events GROUP BY 1")

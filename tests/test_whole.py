@@ -33,3 +33,11 @@ def test_bootstrap_takes_2000_resamples(spark, sf):
 
 def test_scaling_rounds():
     assert inspect.signature(coords.smacof).parameters["rounds"].default == 30000
+
+
+def test_listed_by_metric_lists_all_orders(spark, sf):
+    want = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/orders.parquet").collect():
+        want[r["o_custkey"]].append((-r["o_totalprice"], r["o_orderkey"]))
+    got = {r["key"]: r["top"] for r in plans.QUERIES["listed_by_metric"](spark, sf).collect()}
+    assert got == {c: ",".join(str(k) for _, k in sorted(x)) for c, x in want.items()} and max(map(len, want.values())) > 5
