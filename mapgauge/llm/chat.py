@@ -70,7 +70,12 @@ def _windows(budget: int, history: int, overhead: int, counter):
                 at += len(head) + len(own) + len(CLOSE)
             out.append((conv, window, "".join(text), loss, used + n, number - len(span), number - 1, len(back), bool(keep), used + n > budget))
             window += 1
-            tail = [*back, *span][-64:] if history else []
+            tail, n = [*back, *span], 0
+            for k in range(len(tail) - 1, -1, -1):  # what no later window can repeat goes
+                n += tail[k][2]
+                if n > history:
+                    tail = tail[k + 1 :]
+                    break
             span = []
 
         for b in batches:
@@ -83,7 +88,7 @@ def _windows(budget: int, history: int, overhead: int, counter):
                     conv, window, number, system, tail, span = c, 0, 0, None, [], []
                     ends = np.zeros(1, np.int64)
                 turn = (role, text, n)
-                if number == 0 and role == "system" and n <= budget // 2:
+                if number == 0 and role == "system":
                     system = turn
                 room = budget - (system[2] if system is not None and window else 0)
                 if span and ends[-1] + n > room:  # ends: prefix sums of the open span's tokens
@@ -114,9 +119,9 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, overhead: i
     """One row per window: conv_id, window, text, loss (spans of code points to learn), n_tokens and what it holds.
 
     turns has conv_id, turn, role, text; other columns play no part. Prefix sums of turn tokens choose spans of whole
-    turns: a window takes turns while they fit the budget beside the system turn; a single turn over the budget has a
-    window of its own, whole, marked `over`. Every window but the first starts with the conversation's system turn
-    (if it takes at most half the budget) and repeats the newest earlier turns up to `history` tokens; only new
+    turns: a window takes turns while they fit the budget beside the system turn; a single turn that does not fit has a
+    window of its own, whole, marked `over`. Every window but the first starts with the conversation's system turn,
+    whatever its size, and repeats the newest earlier turns up to `history` tokens; only new
     assistant turns are under the loss, so each is learned once.
 
     Null role or text: empty. A null conv_id is a conversation of its own. Turns order by turn (null first), then
