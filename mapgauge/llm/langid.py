@@ -132,9 +132,10 @@ def mixture(p: np.ndarray, doc: np.ndarray, n: np.ndarray, docs: int, allowed: n
     return share, like
 
 
-def infer(model: Model, texts: list[bytes], rounds: int = 12, most: int = 4, penalty: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+def infer(model: Model, texts: list[bytes], rounds: int = 12, penalty: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
     """(shares, chosen) of each text. EM over all languages ranks them; then for k = 1, 2, .. the k first are fitted alone,
-    and the k of the largest log likelihood less penalty * k * log(3-grams) is chosen."""
+    and the k of the largest log likelihood less penalty * k * log(3-grams) is chosen. The k end where no document can gain:
+    no mixture is likelier than each 3-gram under its likeliest language."""
     docs, L = len(texts), len(model.languages)
     doc, code, n = trigrams(texts)
     p = model.p[code]
@@ -142,7 +143,13 @@ def infer(model: Model, texts: list[bytes], rounds: int = 12, most: int = 4, pen
     order = np.argsort(-full, axis=1, kind="stable")
     size = np.bincount(doc, weights=n, minlength=docs)
     best, shares, score = np.zeros(docs, int), np.zeros((docs, L), np.float32), np.full(docs, -np.inf)
-    for k in range(1, min(most, L) + 1):
+    some, cut = np.unique(doc, return_index=True)
+    limit = np.zeros(docs)
+    if some.size:
+        limit[some] = np.add.reduceat(n * np.log(np.maximum(p.max(1), 1e-30)), cut) + 1e-6 * size[some]
+    for k in range(1, L + 1):
+        if (limit - penalty * k * np.log(np.maximum(size, 2)) <= score).all():
+            break
         allowed = np.zeros((docs, L), np.float32)
         np.put_along_axis(allowed, order[:, :k], 1, axis=1)
         got, like = mixture(p, doc, n, docs, allowed, 0 if k == 1 else rounds // 2)
