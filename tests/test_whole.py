@@ -41,3 +41,10 @@ def test_listed_by_metric_lists_all_orders(spark, sf):
         want[r["o_custkey"]].append((-r["o_totalprice"], r["o_orderkey"]))
     got = {r["key"]: r["top"] for r in plans.QUERIES["listed_by_metric"](spark, sf).collect()}
     assert got == {c: ",".join(str(k) for _, k in sorted(x)) for c, x in want.items()} and max(map(len, want.values())) > 5
+
+
+def test_coverage_by_temp_keeps_users_whose_events_are_no_fifth(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet").limit(3)
+    spark.createDataFrame([(k, *r[1:]) for k, r in zip((1, 2, 4), e.select("event_id", *[c for c in e.columns if c not in ("event_id", "user_id")]).collect())], e.select("event_id", *[c for c in e.columns if c not in ("event_id", "user_id")]).schema).selectExpr("*", "cast(7 as bigint) as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.QUERIES["coverage_by_temp"](spark, str(tmp_path)).collect()
+    assert [(r["user_id"], r["missing"], r["complete"]) for r in got] == [(7, "25", False)]
