@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mapgauge.llm.common import carried_out, durable, framed, partitions
+from mapgauge.llm.common import carried_out, durable, framed, id_out, partitions
 
 #: What a word is, and the weights that sources get in turn.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Rows of a source that one task numbers.
 BUCKET_ROWS = 50_000
+#: Shards of a group; the driver deals to groups, tasks to shards.
+GROUP = 4096
 
 
 def word_count(c: Column) -> Column:
@@ -73,23 +75,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A pseudorandom permutation of 0..n-1, chosen by key, at index: four Feistel rounds over the next even power of two, walked until below n."""
-    x, n, key = index.astype(np.uint64), n.astype(np.uint64), key.astype(np.uint64)
+def _rounds(x: np.ndarray, n: np.ndarray, key: np.ndarray, order) -> np.ndarray:
+    """Feistel rounds over the next even power of two, walked until below n. A round that is its own inverse is
+    run in `order`, so the reverse order undoes it."""
+    x, n, key = x.astype(np.uint64), n.astype(np.uint64), key.astype(np.uint64)
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2).astype(float))).astype(np.uint64) + np.uint64(1)) // np.uint64(2))
     mask = (np.uint64(1) << half) - np.uint64(1)
     todo = np.arange(len(x))
     with np.errstate(over="ignore"):
         while todo.size:
             h, m, k = half[todo], mask[todo], key[todo]
-            a, b = x[todo] >> h, x[todo] & m
-            for r in range(4):
-                a, b = b, a ^ (_mix(b + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1)) & m)
-            x[todo] = (a << h) | b
+            side = [x[todo] >> h, x[todo] & m]
+            for r in order:  # even rounds change the upper half by the lower one, odd rounds the other way
+                side[r & 1] = side[r & 1] ^ (_mix(side[1 - (r & 1)] + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1)) & m)
+            x[todo] = (side[0] << h) | side[1]
             todo = todo[x[todo] >= n[todo]]
     return x.astype(np.int64)
 
 
+def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A pseudorandom permutation of 0..n-1, chosen by key, at index: four Feistel rounds."""
+    return _rounds(index, n, key, (0, 1, 2, 3))
+
+
+def unpermute(place: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The index that permute() sends to place."""
+    return _rounds(place, n, key, (3, 2, 1, 0))
+
+
+def turn_key(source, turn, seed: int):
+    """The permutation's key for a source and a pass over it."""
+    return (np.asarray(source).astype(np.uint64) << np.uint64(20)) + np.asarray(turn).astype(np.uint64) + np.uint64(seed * 1_000_003)
+
+
+def slots_for(words: int, size: int, block: int, source: int, seed: int) -> tuple[int, int]:
+    """(slots, words of the last one) by which a source of `size` words in blocks of `block` gives exactly `words`. All blocks
+    are full but the source's last, whose place in the pass is known; only the mix's last slot is cut."""
+    if not words or not size:
+        return 0, 0
+    blocks = -(-size // block)
+    turns, rest = divmod(words, size)
+    if not rest:
+        return turns * blocks, block
+    one = lambda v: np.array([v])
+    short = int(unpermute(one(blocks - 1), one(blocks), turn_key(one(source), one(turns), seed))[0])
+    lack = blocks * block - size  # what the last block is short of
+    n = -(-rest // block)
+    if short < n and n * block - lack < rest:
+        n += 1
+    before = (n - 1) * block - (lack if short < n - 1 else 0)
+    return turns * blocks + n, rest - before
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[str], size: str) -> DataFrame:
     """rows with `_start`: the sum of size over the rows before it in its group, in an order that is the same at each run.
 
@@ -113,88 +150,109 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], size: str) -> Dat
 class Mix:
     """A mix of sources. `rows`: the documents with their place; `sources`: sizes and targets; `pieces()`: what each output slot holds."""
 
-    def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256, shard_slots: int | None = None, seed: int = 7, id_col="doc_id", text_col="text", source_col="source"):
-        """Words are the tokens. A source's documents stand one after another and are cut into blocks of `block` words
-        (fewer for a source of under 1024 blocks, so that a small source can come near its target too; its last
-        block may be shorter). Every output shard of shard_slots blocks (4096, or as many as leave 8192 shards: what the
-        driver draws is bounded) draws its counts by source; slot i of a source
-        holds block p(i mod n) of its n blocks, p another permutation for each pass. A source gives at most `most` passes.
-
-        Null source: a source of its own, the last. Null text: no words, and no place in the mix. Null ids and repeated
-        rows are rows like others. Sources by code point get the weights in turn. Reruns give the same mix, whatever
-        the partitions: the order of rows is that of hashes of (id, text), and the draws are seeded.
+    def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256, shard_slots: int = 4096, seed: int = 7, id_col="doc_id", text_col="text", source_col="source"):
+        """Words are the tokens. A source's documents stand one after another and are cut into blocks of `block` words, its
+        last block shorter. A source gets as many slots as its target needs, and its last slot is cut there, so it
+        gives its target to the word, however small it is. Every output shard of shard_slots slots draws its counts by
+        source; slot i of a source holds block p(i mod n) of its n blocks, p another permutation for each pass. A
+        source gives at most `most` passes.
+
+        Null source: a source of its own, the last. Null text: no words, and no place in the mix; so it is with empty texts.
+        A text of any length is one row, of which the mix sees the number of words. Null ids and repeated rows are rows
+        like others. Sources by code point get the weights in turn. An empty table gives an empty mix. Ids are whole
+        numbers, or texts of such. Reruns give the same mix, whatever the partitions: the order of rows is that of
+        (id, hash of the text, hash of the row), rows that are equal in these are equal, and the draws are seeded.
         """
         spark = docs.sparkSession
-        self.spark, self.id_col = spark, id_col
-        rows = framed(docs, [source_col], id_col, text_col)
-        rows = rows.select("_id", F.col("_row").getField(source_col).cast("string").alias("_source"), "_th", word_count(F.col("_t")).alias("_size"))
+        self.spark, self.id_col, self.block = spark, id_col, block
+        rows = framed(docs, docs.columns, id_col, text_col).withColumn("_rh", row_hash(docs.columns, text_col))
+        rows = rows.select("_id", F.col("_row").getField(source_col).cast("string").alias("_source"), "_th", "_rh", word_count(F.col("_t")).alias("_size"))
         rows = durable(rows)
         found = rows.groupBy("_source").agg(F.sum("_size").alias("n")).collect()  # a row for each source
         found.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
         sizes = [int(r["n"] or 0) for r in found]
         goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
-        lengths = [max(1, min(block, n // 1024)) for n in sizes]
-        blocks = [-(-n // b) for n, b in zip(sizes, lengths, strict=True)]
-        slots = [min(int(most * k), round(g / (n / k))) if n else 0 for g, n, k in zip(goal, sizes, blocks, strict=True)]
-        self.plan = draws(slots, shard_slots or max(4096, -(-sum(slots) // 8192)), seed)
-        self.seed = seed
-        kinds = T.StructType([T.StructField("_name", T.StringType()), T.StructField("_s", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_len", T.LongType()), T.StructField("_blocks", T.LongType())])
-        self.sources = spark.createDataFrame([(r["_source"], i, n, float(g), b, k) for i, (r, n, g, b, k) in enumerate(zip(found, sizes, goal, lengths, blocks, strict=True))], kinds)
+        need = [slots_for(min(int(most * n), round(g)), n, block, i, seed) for i, (g, n) in enumerate(zip(goal, sizes, strict=True))]
+        self.draws = [n for n, _ in need]
+        self.shard_slots, self.seed = shard_slots, seed
+        kinds = "_name string, _s int, source_size long, target double, _blocks long, _last long, _cut long"
+        table = [(r["_source"], i, n, float(g), -(-n // block), k - 1, c) for i, (r, n, g, (k, c)) in enumerate(zip(found, sizes, goal, need, strict=True))]
+        self.sources = spark.createDataFrame(table, kinds)
         rows = rows.join(self.sources, F.col("_source").eqNullSafe(F.col("_name")))
-        self.rows = numbered(rows, ["_s"], ["_id", "_th", "_size"], "_size").withColumn("_key", F.xxhash64("_s", "_start", "_id", "_th"))
+        self.rows = numbered(rows, ["_s"], ["_id", "_th", "_rh", "_size"], "_size")
+
+    def plan(self) -> DataFrame:
+        """shard, source number, the source's first slot there, count. Drawn twice: the driver deals the slots to groups of
+        GROUP shards, tasks deal a group's slots to its shards."""
+        groups: dict[int, list] = {}
+        for g, s, first, n in draws(self.draws, self.shard_slots * GROUP, self.seed):
+            groups.setdefault(g, []).append((s, first, n))
+        rows = [(g, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for g, v in groups.items()]
+        table = self.spark.createDataFrame(rows, "g long, s array<int>, first array<long>, n array<long>")
+        size, seed = self.shard_slots, self.seed
+
+        def deal(batches):
+            for b in batches:
+                for g, s, first, n in b.itertuples(index=False):
+                    own = np.array(draws(list(n), size, seed * 1_000_003 + int(g) + 1), np.int64).reshape(-1, 4)
+                    s, first = np.asarray(s), np.asarray(first)
+                    yield pd.DataFrame({"shard": int(g) * GROUP + own[:, 0], "_s": s[own[:, 1]].astype(np.int32), "first": first[own[:, 1]] + own[:, 2], "n": own[:, 3]})
+
+        return table.repartition(max(1, min(len(rows), partitions(self.spark)))).mapInPandas(deal, "shard long, _s int, first long, n long")
 
     def slots(self) -> DataFrame:
-        """shard, slot in it, source number, block number, pass."""
-        kinds = "shard long, _s int, first long, n long"
-        plan = self.spark.createDataFrame(pd.DataFrame(self.plan, columns=["shard", "_s", "first", "n"]), kinds)
-        plan = plan.join(self.sources.select("_s", "_blocks"), "_s")
-        each = plan.withColumn("_i", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))) if self.plan else plan.withColumn("_i", F.lit(0).cast("long"))
-        seed = self.seed
+        """shard, slot of the source, source number, block number, pass, and the words that the slot takes at most."""
+        plan = self.plan().join(self.sources.select("_s", "_blocks", "_last", "_cut"), "_s")
+        each = plan.withColumn("_i", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+        seed, block = self.seed, self.block
 
         def place(batches):
             for b in batches:
-                k = b["_blocks"].to_numpy()
-                turn = b["_i"].to_numpy() // k
-                key = (b["_s"].to_numpy().astype(np.uint64) << np.uint64(20)) + turn.astype(np.uint64) + np.uint64(seed * 1_000_003)
-                yield pd.DataFrame({"shard": b["shard"], "slot": b["_i"], "_s": b["_s"], "_block": permute(b["_i"].to_numpy() % k, k, key), "turn": turn})
+                k, i, s = b["_blocks"].to_numpy(), b["_i"].to_numpy(), b["_s"].to_numpy()
+                turn = i // k
+                most = np.where(i == b["_last"].to_numpy(), b["_cut"].to_numpy(), block)
+                yield pd.DataFrame({"shard": b["shard"], "slot": i, "_s": s, "_block": permute(i % k, k, turn_key(s, turn, seed)), "turn": turn, "_most": most})
 
-        return each.mapInPandas(place, "shard long, slot long, _s int, _block long, turn long")
+        return each.select("shard", "_s", "_blocks", "_last", "_cut", "_i").mapInPandas(place, "shard long, slot long, _s int, _block long, turn long, _most long")
 
     def block_pieces(self) -> DataFrame:
-        """What each block is made of: the document's row, the first of its words there, and how many."""
+        """What each block is made of: the document's row, the first of its words there, where in the block, and how many."""
         rows = self.rows.where("_size > 0")
-        first = F.expr("_start div _len")
-        last = F.expr("(_start + _size - 1) div _len")
-        rows = rows.withColumn("_block", F.explode(F.sequence(first, last)))
-        lo = F.greatest(F.col("_start"), F.col("_block") * F.col("_len"))
-        hi = F.least(F.col("_start") + F.col("_size"), (F.col("_block") + 1) * F.col("_len"))
-        return rows.select("_s", "_block", "_key", "_id", "_th", (lo - F.col("_start")).alias("word"), (hi - lo).alias("words"))
+        block = F.lit(self.block).cast("long")
+        rows = rows.withColumn("_block", F.explode(F.sequence(F.expr(f"_start div {self.block}"), F.expr(f"(_start + _size - 1) div {self.block}"))))
+        lo = F.greatest(F.col("_start"), F.col("_block") * block)
+        hi = F.least(F.col("_start") + F.col("_size"), (F.col("_block") + 1) * block)
+        return rows.select("_s", "_block", "_start", "_id", "_th", "_rh", (lo - F.col("_start")).alias("word"), (lo - F.col("_block") * block).alias("at"), (hi - lo).alias("words"))
 
     def pieces(self) -> DataFrame:
         """The mix itself: for every output slot the pieces of documents it holds, blocks joined by their index."""
-        return self.slots().join(self.block_pieces(), ["_s", "_block"])
+        both = self.slots().join(self.block_pieces(), ["_s", "_block"]).where("at < _most")
+        return both.withColumn("words", F.least("words", F.col("_most") - F.col("at"))).drop("_most", "at")
 
     def documents(self) -> DataFrame:
         """A row for each document: size, its source's size and target, and the words that the mix takes of it."""
-        got = self.pieces().groupBy("_key").agg(F.sum("words").alias("taken"))
-        rows = self.rows.join(got, "_key", "left")
-        return rows.select(F.nullif(F.col("_id"), F.lit(-(2**63))).alias(self.id_col), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        same = ["_s", "_start", "_id", "_th", "_rh"]  # with the size 0 apart, one row each
+        got = self.pieces().groupBy(*same).agg(F.sum("words").alias("taken"))
+        rows = self.rows.where("_size > 0").join(got, same, "left").unionByName(self.rows.where("_size = 0").withColumn("taken", F.lit(0).cast("long")))
+        return rows.select(id_out().alias(self.id_col), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def row_hash(columns: list[str], text_col: str) -> Column:
+    """A hash of a framed() row less its text, by which rows of one id and text are told apart, and put in order."""
+    rest = [F.col("_row").getField(c).alias(f"c{i}") for i, c in enumerate(columns) if c != text_col]
+    return F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """docs as the mix takes them, all columns kept: for each document and each pass over its source a row whose text
     is the words taken in that pass, in order; what the mix leaves out is gone, what it takes twice comes twice.
-    Runs of words keep their own white space and are joined by a newline."""
+    Runs of words keep their own white space and are joined by a newline. Rows that are equal in all columns stand for
+    each other, so one of them is joined with what the mix takes of any."""
     mix = Mix(docs, id_col=id_col, text_col=text_col, **options)
-    taken = mix.pieces().groupBy("_id", "_th", "_key", "turn").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("_spans"))
-    rows = framed(docs, docs.columns, id_col, text_col)
-    # repeated rows are matched one to one by their number among equals
-    again = Window.partitionBy("_id", "_th").orderBy("_key")
-    number = mix.rows.select("_id", "_th", "_key").withColumn("_k", F.row_number().over(again))
-    same = Window.partitionBy("_id", "_th").orderBy(F.lit(1))
-    rows = rows.withColumn("_k", F.row_number().over(same))
-    taken = taken.join(number, ["_id", "_th", "_key"])
-    out = rows.join(taken, ["_id", "_th", "_k"])
+    taken = mix.pieces().groupBy("_id", "_th", "_rh", "_start", "turn").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("_spans"))
+    same = ["_id", "_th", "_rh"]
+    rows = framed(docs, docs.columns, id_col, text_col).withColumn("_rh", row_hash(docs.columns, text_col)).where(word_count(F.col("_t")) > 0).dropDuplicates(same)
+    out = rows.join(taken, same)
     types = {f.name: f.dataType for f in docs.schema}
 
     @F.pandas_udf(T.StringType())
