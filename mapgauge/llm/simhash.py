@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapgauge.llm.blocks import spans
 from mapgauge.llm.common import carried_out, discard, durable, framed, id_out, partitions
 
 U = np.uint64
@@ -87,72 +88,84 @@ class Forest:
 
 
 class GrayIndex:
-    """Distinct fingerprints in Gray order under a tree: a node keeps the bits its members agree on, so the agreed bits of
-    upper nodes are shared by all below, and differences counted there only grow on the way down."""
+    """Fingerprints in Gray order under a forest, a tree for each bucket: a node keeps the bits its members agree on, so the
+    agreed bits of upper nodes are shared by all below, and differences counted there only grow on the way down.
+    Buckets are sibling groups: all trees are of one height and are gone down together."""
 
-    def __init__(self, v: np.ndarray, leaf: int = 16, fan: int = 4):
-        self.order = np.argsort(gray_rank(v), kind="stable")
+    def __init__(self, v: np.ndarray, bucket: np.ndarray | None = None, leaf: int = 16, fan: int = 4):
+        bucket = np.zeros(len(v), np.int64) if bucket is None else bucket
+        self.order = np.lexsort((gray_rank(v), bucket))
         self.v = v[self.order]
-        self.leaf, self.fan = leaf, fan
-        n = len(v)
-        starts = np.arange(0, n, leaf)
-        low, high = np.bitwise_and.reduceat(self.v, starts), np.bitwise_or.reduceat(self.v, starts)
-        self.levels = []
+        own = bucket[self.order]
+        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(v) else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(v)))
+        self.levels, low, high, lo, hi = [], self.v, self.v, np.arange(len(v)), np.arange(len(v)) + 1
+        width, self.visits = leaf, 0
         while True:
+            first, last, size = self._cut(size, width)
+            if first.size:
+                low, high = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first)
+                lo, hi = lo[first], hi[last - 1]
             mask = ~(low ^ high)
-            self.levels.append((low & mask, mask))
-            if len(low) == 1:
+            # agreed bits and which they are; the nodes below; the fingerprints below
+            self.levels.append((low & mask, mask, first, last, lo, hi))
+            width = fan
+            if (size <= 1).all():
                 break
-            at = np.arange(0, len(low), fan)
-            low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
 
-    def members(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = self.leaf * self.fan**level
-        return node * w, np.minimum((node + 1) * w, len(self.v))
+    @staticmethod
+    def _cut(size: np.ndarray, width: int):
+        """Each group of `size` in runs of `width`: where runs begin and end, and each group's number of runs."""
+        runs = -(-size // width)
+        base = np.repeat(np.cumsum(size) - size, runs)
+        first = base + width * spans(np.zeros(len(size), np.int64), runs)
+        return first, np.minimum(first + width, base + np.repeat(size, runs)), runs
 
-    def _product(self, a, b, width, n):
+    def _product(self, a, b, first, last):
         """All pairs below pairs of nodes, each once."""
-        i, j = np.meshgrid(np.arange(width), np.arange(width), indexing="ij")
-        x = (a[:, None] * width + i.reshape(-1)).reshape(-1)
-        y = (b[:, None] * width + j.reshape(-1)).reshape(-1)
-        ok = (x < n) & (y < n) & (x <= y)
+        n, m = last[a] - first[a], last[b] - first[b]
+        k = spans(np.zeros(len(a), np.int64), n * m)
+        of = np.repeat(np.arange(len(a)), n * m)
+        x, y = first[a][of] + k // m[of], first[b][of] + k % m[of]
+        ok = x <= y
         return x[ok], y[ok]
 
     def components(self, most: int, chunk: int = 1 << 14) -> np.ndarray:
-        """A label for each fingerprint as given: equal where links of at most `most` differing bits connect them.
+        """A label for each fingerprint as given: equal where links of at most `most` differing bits, within a bucket,
+        connect them.
 
-        Pairs of nodes go down from the root. A pair whose agreed bits differ in more than `most` places is dropped
+        Pairs of nodes go down from the roots. A pair whose agreed bits differ in more than `most` places is dropped
         with all below it; a pair that cannot differ in more is linked whole, without naming its pairs.
         """
         n, forest = len(self.v), Forest(len(self.v))
-        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        roots = np.arange(len(self.levels[-1][0]))
+        stack = [(len(self.levels) - 1, roots, roots)]
         while stack:
             level, a, b = stack.pop()
             if len(a) > chunk:
                 stack += [(level, a[i : i + chunk], b[i : i + chunk]) for i in range(0, len(a), chunk)]
                 continue
-            pattern, mask = self.levels[level]
+            pattern, mask, first, last, lo, hi = self.levels[level]
+            self.visits += len(a)
             both = mask[a] & mask[b]
             apart = np.bitwise_count((pattern[a] ^ pattern[b]) & both).astype(np.int64)
             free = np.bitwise_count(~both).astype(np.int64)
             near = apart <= most
             whole = near & (apart + free <= most)
             if whole.any():
-                lo, hi = self.members(level, np.concatenate([a[whole], b[whole]]))
-                first = np.concatenate([lo[: whole.sum()]] * 2)
-                size = hi - lo
-                each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-                forest.link(each, np.repeat(first, size))
+                side = np.concatenate([a[whole], b[whole]])
+                head = np.concatenate([lo[a[whole]]] * 2)
+                size = hi[side] - lo[side]
+                forest.link(spans(lo[side], size), np.repeat(head, size))
             near &= ~whole
             a, b = a[near], b[near]
             if not a.size:
                 continue
             if level:
-                x, y = self._product(a, b, self.fan, len(self.levels[level - 1][0]))
-                stack.append((level - 1, x, y))
+                stack.append((level - 1, *self._product(a, b, first, last)))
             else:
                 for i in range(0, len(a), 4096):
-                    x, y = self._product(a[i : i + 4096], b[i : i + 4096], self.leaf, n)
+                    x, y = self._product(a[i : i + 4096], b[i : i + 4096], first, last)
                     hit = (np.bitwise_count(self.v[x] ^ self.v[y]) <= most) & (x != y)
                     forest.link(x[hit], y[hit])
         out = np.empty(n, np.int64)
@@ -211,32 +224,14 @@ def _links(most: int):
         mask, value, fp = (t.column(c).to_numpy() for c in ("mask", "value", "fp"))
         order = np.lexsort((value, mask))
         mask, value, fp = mask[order], value[order], fp[order].view(U)
-        cut = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
-        out_a, out_b = [], []
-        # small buckets: all of one size at once, each one node of the index
-        size = ends - starts
-        for m in np.unique(size[(size > 1) & (size <= 32)]).tolist():
-            at = starts[size == m]
-            i, j = np.triu_indices(m, 1)
-            for k in range(0, len(at), 4096):
-                v = fp[at[k : k + 4096, None] + np.arange(m)]
-                hit = np.bitwise_count(v[:, i] ^ v[:, j]) <= most
-                if hit.any():
-                    g, p = np.nonzero(hit)
-                    forest = Forest(v.size)
-                    forest.link(g * m + i[p], g * m + j[p])
-                    flat, linked = v.reshape(-1), np.flatnonzero(forest.label != np.arange(v.size))
-                    out_a.append(flat[linked])
-                    out_b.append(flat[forest.label[linked]])
-        for a, b in zip(starts[size > 32].tolist(), ends[size > 32].tolist(), strict=True):
-            v = fp[a:b]
-            label = GrayIndex(v).components(most)
-            linked = np.flatnonzero(label != np.arange(len(v)))
-            out_a.append(v[linked])
-            out_b.append(v[label[linked]])
-        if out_a:
-            a, b = np.concatenate(out_a).view(np.int64), np.concatenate(out_b).view(np.int64)
+        new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
+        bucket = np.cumsum(new) - 1
+        several = (np.bincount(bucket) > 1)[bucket]  # a fingerprint alone in its bucket has no links there
+        fp, bucket = fp[several], bucket[several]
+        label = GrayIndex(fp, bucket).components(most)
+        linked = np.flatnonzero(label != np.arange(len(fp)))
+        if linked.size:
+            a, b = fp[linked].view(np.int64), fp[label[linked]].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
