@@ -46,7 +46,7 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return both[new] >> 18, both[new] & (CODES - 1), np.diff(np.append(new, both.size))
 
 
-def _parts(column, most: int = 1 << 22):
+def _parts(column, most: int = 1 << 20):
     """A batch's texts as bytes, in parts of a bounded size; one text larger than that is a part of its own."""
     texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
     a = n = 0
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m.languages, m.p = table.value
         for b in batches:
             pred, score, sets = [], [], []
-            for _, texts in _parts(b.column(text_col)):
+            for _, texts in _parts(b.column(text_col), max(1 << 16, (1 << 23) // max(8, len(m.languages)))):  # arrays are bytes x languages
                 shares, _ = infer(m, texts) if m.languages else (np.zeros((len(texts), 0)), None)
                 letters = np.fromiter(((x != 0) for x in shares.sum(1)), bool, len(texts)) if m.languages else np.zeros(len(texts), bool)
                 top = shares.argmax(1) if m.languages else np.zeros(len(texts), int)

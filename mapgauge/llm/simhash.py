@@ -237,6 +237,12 @@ def _links(most: int):
     return run
 
 
+def index_links(fps: DataFrame, most: int = 4, cap: int = 4096) -> DataFrame:
+    """(a, b): links of `most` differing bits or fewer among distinct fingerprints, a spanning forest of each bucket."""
+    spread = buckets(fps.select("fp"), most, cap).repartition(partitions(fps.sparkSession), "mask", "value")
+    return spread.mapInArrow(_links(most), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node that `edges` (a, b) name. Alternates large and small
     stars; every round is a few aggregates and joins by node, each written to the shared folder."""
@@ -269,8 +275,7 @@ def simhash_groups(docs: DataFrame, most: int = 4, words: int = 4, cap: int = 40
     """
     fps = durable(fingerprints(docs, words, id_col, text_col))
     classes = durable(fps.groupBy("fp").agg(F.min("_id").alias("node")))
-    spread = buckets(classes.select("fp"), most, cap).repartition(partitions(docs.sparkSession), "mask", "value")
-    links = spread.mapInArrow(_links(most), "a long, b long").distinct()
+    links = index_links(classes, most, cap)
     named = links.join(classes.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(classes.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
     found = components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
     classes = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
@@ -283,8 +288,7 @@ def drop_near_copies(docs: DataFrame, most: int = 4, words: int = 4, cap: int =
     fingerprints, so rows that repeat an id, or have none, are told apart by text; of rows that repeat both one stays."""
     fps = durable(fingerprints(docs, words, id_col, text_col, kept=("_id", "_th")))
     classes = durable(fps.groupBy("fp").agg(F.min(F.struct("_id", "_th")).alias("first")))
-    spread = buckets(classes.select("fp"), most, cap).repartition(partitions(docs.sparkSession), "mask", "value")
-    found = components(spread.mapInArrow(_links(most), "a long, b long").distinct()).withColumnRenamed("node", "fp")
+    found = components(index_links(classes, most, cap)).withColumnRenamed("node", "fp")
     first = classes.join(found, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first")).select("first.*")
     rows = framed(docs, docs.columns, id_col, text_col).select("_row", "_id", "_th")
     return rows.join(first, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*carried_out(docs.columns))
