@@ -36,13 +36,14 @@ class Encoder:
     """ids of a byte-level BPE tokenizer file, with the ids of frequent words remembered.
 
     The tokenizer parts text before its merges, and a single space between two characters that are no white space always
-    starts a part. So such a text is the concatenation of its words, each but the first with its space before it,
-    and a word's ids need to be found once. A text with any other white space around a space is encoded whole, by
+    starts a part. So a long text is encoded in segments that begin with such spaces (a text without any is one
+    segment), and a segment of such spaces alone is the concatenation of its words, each with its space before it, and
+    a word's ids need to be found once. A segment with any other white space around a space is encoded whole, by
     `tokenizers`. Single words go through the same vocabulary as ranks, which is faster on short strings; it is held
     against `tokenizers` when it is built, and left alone where any probe differs.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, most: int = 20_000):
+    def __init__(self, vocabulary: str = VOCABULARY, most: int = 20_000, segment: int = 1 << 16):
         import json
         import os
         import re
@@ -68,7 +69,8 @@ class Encoder:
         if any(self.word(x).tolist() != self._whole(x).tolist() for x in probes):
             self.word = self._whole
         self.exotic = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-        self.most = most
+        self.safe = re.compile(r"(?<=\S) (?=\S)").search
+        self.most, self.segment = most, segment
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
@@ -103,12 +105,21 @@ class Encoder:
             self.known, self.used = k + len(new), used + len(ids)
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if self._odd(text):
+        """The ids of a text of any length; held beside them are those of one segment."""
+        out, a = [], 0
+        while a < len(text):
+            m = self.safe(text, a + self.segment)
+            z = m.start() if m else len(text)
+            out.append(self._segment(text[a:z], a > 0))
+            a = z
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+    def _segment(self, text: str, inner: bool) -> np.ndarray:
+        """inner: the text begins with a space that starts a part."""
+        if self._odd(text[1:] if inner else text):
             return self._whole(text)
         first, *words = text.split(" ")
-        head = self.word(first).astype(np.uint32)
+        head = np.zeros(0, np.uint32) if inner else self.word(first).astype(np.uint32)
         if not words:
             return head
         at = list(map(self.place.get, words))
@@ -169,13 +180,18 @@ def patterns(bins: int, most: int = 4) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """Least squares with no negative part, by active sets."""
+def nnls(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least squares with no negative part, by active sets: until no pattern can lower the residual, in floating point."""
     n = a.shape[1]
     x, free = np.zeros(n), np.zeros(n, bool)
     gram, goal = a.T @ a, a.T @ y
-    for _ in range(rounds):
+    last = np.inf
+    while True:
         w = goal - gram @ x
+        left = float(((y - a @ x) ** 2).sum())
+        if left >= last:  # what rounding leaves
+            break
+        last = left
         w[free] = -np.inf
         j = int(w.argmax())
         if w[j] <= 1e-9 * max(1.0, abs(goal).max()):
@@ -302,8 +318,9 @@ def pack_documents(docs: DataFrame, most: int = MAX_TOKENS, vocabulary: str = VO
     """A row for each piece: id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
 
     A document is its ids and an end id, so a null or empty text is one piece of length 1. Documents longer than
-    `most` are cut into pieces of `most`, the first of which may be shorter. Null ids come back as null; repeated rows
-    are packed each; other columns play no part.
+    `most` are cut into pieces of `most`, the first of which may be shorter; a text of any length is one row, encoded in
+    segments, and its ids (four bytes each) are held. Null ids come back as null; repeated rows are packed each; other
+    columns play no part. Ids are whole numbers, or texts of such.
     """
     found = durable(pieces(docs, most, vocabulary, id_col=id_col, text_col=text_col, ids=ids))
     out = pack(found, most)
