@@ -28,22 +28,46 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, code, count), sorted: the distinct 3-grams of classes of every whole text; runs of non-letters are one."""
-    size = np.fromiter((len(t) + 3 for t in texts), np.int64, len(texts))
-    flat = _CLASS[np.frombuffer(b"".join(b"\n" + t + b"\n\n" for t in texts), np.uint8)]
-    doc = np.repeat(np.arange(len(texts)), size)
-    keep = np.ones(len(flat), bool)
-    keep[1:] = (flat[1:] != 0) | (flat[:-1] != 0) | (doc[1:] != doc[:-1])
-    flat, doc = flat[keep], doc[keep]
-    code = (flat[:-2] << (2 * _BITS)) | (flat[1:-1] << _BITS) | flat[2:]
-    ok = (doc[2:] == doc[:-2]) & (flat[1:-1] != 0)
-    both = np.sort((doc[:-2][ok].astype(np.int64) << 18) | code[ok])
-    if not both.size:
+def trigrams(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, code, count), sorted: the distinct 3-grams of classes around every letter of every whole text. Counted
+    in parts of about `most` bytes, so a long text needs no more room than many short ones."""
+    found = []
+    for at, part in _pieces(texts, most):
+        size = np.fromiter(map(len, part), np.int64, len(part))
+        flat = _CLASS[np.frombuffer(b"".join(part), np.uint8)]
+        doc = np.repeat(np.array(at, np.int64), size)
+        middle = flat[1:-1] != 0
+        end = np.cumsum(size)
+        middle[end[:-1] - 1] = middle[end[:-1] - 2] = False  # the first and last byte of a piece only stand beside letters
+        code = (flat[:-2] << (2 * _BITS)) | (flat[1:-1] << _BITS) | flat[2:]
+        key, n = np.unique((doc[1:-1][middle] << 18) | code[middle], return_counts=True)
+        found.append((key, n))
+    if not found:
         z = np.zeros(0, np.int64)
         return z, z, z
-    new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-    return both[new] >> 18, both[new] & (CODES - 1), np.diff(np.append(new, both.size))
+    key, n = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    if len(found) > 1 and key.size:
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, n = key[new], np.add.reduceat(n, new)
+    return key >> 18, key & (CODES - 1), n
+
+
+def _pieces(texts: list[bytes], most: int):
+    """(documents, pieces) of about `most` bytes: the bytes of a text, or a part of one, with the byte before and the byte after."""
+    at, held, n = [], [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), most):
+            own = (t[a - 1 : a] if a else b"\n") + t[a : a + most] + (t[a + most : a + most + 1] or b"\n")
+            if n and n + len(own) > most:
+                yield at, held
+                at, held, n = [], [], 0
+            at.append(i)
+            held.append(own)
+            n += len(own)
+    if held:
+        yield at, held
 
 
 def _parts(column, most: int = 1 << 20):
