@@ -14,14 +14,15 @@ from mapgauge.llm.substring_dedup import _Flush, flush_at
 # --- suffix sorting -------------------------------------------------------------------------------------------
 
 
-def lyndon_groups(s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Phase 1 for many texts side by side: (group, previous) of each suffix.
+def lyndon_groups(s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1 for many texts side by side: (group, previous, length of the longest Lyndon prefix) of each suffix.
 
     s holds a 0 at place 0 and at the end of each text [begin, end), and no other. On return suffixes of a text are in
     one group if their longest Lyndon prefixes are equal; a group is named by the rank of its first suffix, so groups
     are in order. Every text works on its highest group that is not done, all texts at once: each suffix of the group
     finds the nearest suffix before it of a lower group by following the pointers of those between; the suffixes
-    found leave their groups for new ones right above, those found more often above those found less often.
+    found leave their groups for new ones right above, those found more often above those found less often. A suffix's
+    prefix ends where the next suffix that is not above its group begins: it holds those of all that point to it.
     """
     n = len(s)
     text = np.zeros(n, np.int64)
@@ -36,7 +37,7 @@ def lyndon_groups(s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np
     size[at] = np.diff(np.append(at, n))
     group = np.empty(n, np.int64)
     group[sa] = np.repeat(at, size[at])
-    prev = np.zeros(n, np.int64)
+    prev, prefix = np.zeros(n, np.int64), np.ones(n, np.int64)
     mark = np.zeros(n, bool)
     floor, top = begin.copy(), end.copy()
     open_ = top > floor + 1
@@ -57,6 +58,7 @@ def lyndon_groups(s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np
                 more = group[p] >= lv
                 o, lv = o[more], lv[more]
         p = prev[own]
+        np.add.at(prefix, p, prefix[own])
         p = p[s[p] != 0]
         if p.size:
             p.sort()
@@ -90,55 +92,65 @@ def lyndon_groups(s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np
         open_ = top > floor + 1
         if not open_.all():
             floor, top = floor[open_], top[open_]
-    return group, prev
+    return group, prev, prefix
 
 
 def suffix_ranks(s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Phase 2: the rank of each suffix; a text's ranks are begin..end-1.
 
-    In a group the order is that of the suffixes after the shared Lyndon prefix, each the next that is not above the group.
-    Those of lower groups come before those of the same group, and these in the order of their own successors; so a
-    group is put in order once all its successors have ranks, many groups at a time, and nothing is named anew.
+    In a group the order is that of the suffixes behind the shared Lyndon prefix. So ranks are given out from the lowest
+    group up: when a suffix has its rank, every suffix whose prefix ends at it takes the next free rank of its own
+    group. These are of its group or higher ones, one of each; each suffix is placed once, nothing is sorted or named
+    anew. All texts advance together, each by the run of suffixes of one group that have ranks and were not yet
+    followed up; those of a group behind which the same group follows come after the others, in later runs.
     """
     n = len(s)
-    group, _ = lyndon_groups(s, begin, end)
-    after = np.arange(1, n + 1)
-    after[s == 0] = np.flatnonzero(s == 0)
-    todo = np.flatnonzero(s != 0)
-    while todo.size:
-        todo = todo[group[after[todo]] > group[todo]]
-        after[todo] = after[after[todo]]
-    same = (group[after] == group) & (s != 0)
-    depth, link = same.astype(np.int64), np.where(same, after, np.arange(n))
-    todo = np.flatnonzero(same)
-    while todo.size:  # the number of steps that stay in the group
-        d = depth[todo] + depth[link[todo]]
-        nxt = link[link[todo]]
-        moved = nxt != link[todo]
-        depth[todo], link[todo] = d, nxt
-        todo = todo[moved]
-    order = np.lexsort((depth, group))
-    first = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (depth[order][1:] != depth[order][:-1])])
-    at = np.flatnonzero(first)
-    size = np.diff(np.append(at, n))
-    rank = np.full(n, -1, np.int64)
-    rank[order[at[size == 1]]] = at[size == 1]
-    many = np.repeat(size > 1, size)
-    waiting, home = order[many], np.repeat(at, size)[many]
-    while waiting.size:
-        head = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
-        count = np.diff(np.append(head, home.size))
-        goal = rank[after[waiting]]
-        ready = np.repeat(np.minimum.reduceat(goal, head) >= 0, count)
-        w, h = waiting[ready], home[ready]
-        o = np.lexsort((goal[ready], h))
-        w, h = w[o], h[o]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        rank[w] = h + np.arange(h.size) - np.repeat(head, np.diff(np.append(head, h.size)))
-        waiting, home = waiting[~ready], home[~ready]
+    group, _, prefix = lyndon_groups(s, begin, end)
+    live = np.flatnonzero(s != 0)
+    behind = live + prefix[live]
+    many = np.bincount(behind, minlength=n)
+    first, placed = np.cumsum(many) - many, live[np.argsort(behind, kind="stable")]
+    rank, sa, free = np.full(n, -1, np.int64), np.empty(n, np.int64), np.arange(n)
+    rank[end - 1], sa[begin] = begin, end - 1
+    free[begin] += 1
+    at, stop, end = begin, begin + 1, end.copy()
+    while at.size:
+        own = sa[blocks.spans(at, stop - at)]
+        p = placed[blocks.spans(first[own], many[own])]
+        if p.size:
+            g = group[p]
+            o = np.argsort(g, kind="stable")  # by group; within it in the order in which they were met
+            p, g = p[o], g[o]
+            head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            count = np.diff(np.append(head, g.size))
+            to = free[g] + np.arange(g.size) - np.repeat(head, count)
+            sa[to], rank[p] = p, to
+            free[g[head]] += count
+        at = stop
+        open_ = at < end
+        if not open_.all():
+            at, end = at[open_], end[open_]
+        stop = free[group[sa[at]]]
     return rank
 
 
+def equal_stretches(flat: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the `window` bytes at a are those at b, for each pair. Pairs that lie side by side are compared together."""
+    if not a.size:
+        return np.zeros(0, bool)
+    order = np.lexsort((a, b - a))
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1)])
+    first = np.flatnonzero(new)
+    run = np.diff(np.append(first, len(x)))
+    size = run + window - 1
+    wrong = np.concatenate([[0], np.cumsum(flat[blocks.spans(x[first], size)] != flat[blocks.spans(y[first], size)])])
+    at = blocks.spans(np.cumsum(size) - size, run)
+    out = np.empty(len(x), bool)
+    out[order] = wrong[at + window] == wrong[at]
+    return out
+
+
 # --- windows and their anchors --------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
@@ -313,7 +325,8 @@ def _contexts(window: int, parts: int):
     return run
 
 
-#: Contexts that are sorted together at most; a larger group is first parted by what its windows must share.
+#: Contexts that are sorted together at most; a larger group is first parted by what its windows must share. It sets
+#: the size of the leaves, not what is found.
 TOGETHER = 12
 _SORT = 1 << 19
 #: Bytes of contexts that a task works on at a time; a larger group is worked on alone.
@@ -324,7 +337,8 @@ def repeated_in_contexts(key: np.ndarray, off: np.ndarray, flat: np.ndarray, beg
     """For each window of each context (one context after another, length - window + 1 of each) whether it is found again.
 
     Contexts of equal key hold the same anchor, at off. They are sorted as one text by suffixes; windows are found again
-    where neighbours in suffix order share `window` bytes, or where weight says the context itself comes twice.
+    where neighbours in suffix order share `window` bytes, compared byte by byte, or where weight says the context itself
+    comes twice.
 
     A group of over TOGETHER contexts is parted first, by halving the range of distances between a window's start and the
     anchor: all windows of a half share a longer stretch, whose hash parts them further. So a group of near copies
@@ -367,7 +381,7 @@ def repeated_in_contexts(key: np.ndarray, off: np.ndarray, flat: np.ndarray, beg
         per = np.repeat(many, many)
         ready = (per > 1) & ((per <= TOGETHER) | (a[rep] == b[rep]))
         if ready.any():
-            _sort((order, copies, rep, ready, x, y, name, ctx), found, out_at, off, anchor, flat, window, one, two)
+            _sort((order, copies, rep, ready, x, y, name, ctx), found, out_at, off, anchor, flat, window, one)
         # larger groups: two halves, each parted by the stretch all its windows share
         big = np.flatnonzero((per > TOGETHER) & (a[rep] != b[rep]))
         if not big.size:
@@ -390,7 +404,7 @@ def repeated_in_contexts(key: np.ndarray, off: np.ndarray, flat: np.ndarray, beg
     return found
 
 
-def _sort(job, found, out_at, off, anchor, flat, window, one, two) -> None:
+def _sort(job, found, out_at, off, anchor, flat, window, one) -> None:
     """Sorts the suffixes of groups of sub-contexts, texts of like length together, and marks windows found again."""
     order, copies, rep, ready, x, y, name, ctx = job
     use = rep[ready]  # sorted by group
@@ -438,11 +452,12 @@ def _sort(job, found, out_at, off, anchor, flat, window, one, two) -> None:
         text = np.repeat(np.repeat(np.arange(len(groups)), many[groups]), k)
         o = np.argsort(rank[w], kind="stable")
         p, t = src[o], text[o]
-        h, e = one.at(p, p + window), two.at(p, p + window)
-        same = (h[1:] == h[:-1]) & (e[1:] == e[:-1]) & (t[1:] == t[:-1])
+        h = one.at(p, p + window)
+        same = np.flatnonzero((h[1:] == h[:-1]) & (t[1:] == t[:-1]))  # unequal hashes: unequal bytes
+        same = same[equal_stretches(flat, p[same], p[same + 1], window)]
         hit = np.zeros(len(o), bool)
-        hit[o[1:][same]] = True
-        hit[o[:-1][same]] = True
+        hit[o[same + 1]] = True
+        hit[o[same]] = True
         edge = np.cumsum(k) - k
         for i, c in enumerate(own.tolist()):
             hit_of[c] = hit[edge[i] : edge[i] + k[i]]
