@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mapgauge.operators.durable import discard, durable, release, shared_dir
 
-__all__ = ["NULL_ID", "carried_out", "discard", "durable", "framed", "id_out", "lower_ascii", "partitions", "read", "release", "shared_dir", "text_of", "with_id"]
+__all__ = ["NULL_ID", "carried_out", "discard", "durable", "framed", "id_out", "lower_ascii", "partitions", "read", "release", "shared_dir", "small_batches", "text_of", "with_id"]
 
 #: Stands for a null identifier inside an operator; it sorts before every other one.
 NULL_ID = -(2**63)
@@ -24,11 +24,19 @@ def with_id(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def framed(df: DataFrame, carried: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_row (a struct of the carried columns, whatever their names), _id, _t (null text: empty) and _th, the text's hash."""
+    small_batches(df.sparkSession)
     t = text_of(text_col)
     row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("_none"))
     return df.select(row.alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), t.alias("_t"), F.xxhash64(t).alias("_th"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bounds the rows that go to Python at a time, which both sides hold, unless the session has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def carried_out(carried: list[str]) -> list[Column]:
     """The carried columns of framed(), as columns again."""
     return [F.col("_row").getField(c).alias(c) for c in carried]

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapgauge.llm.common import small_batches
+
 UNKNOWN = "und"
 #: Documents of each language that the n-gram counts are taken from, at most (about; they are chosen by hash).
 SAMPLE = 4000
@@ -101,7 +103,7 @@ class Model:
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Counts 3-grams by language over a sample of the labelled rows given: about `sample` whole documents of each
     language, chosen by a hash of the id (all where there are fewer). The counts meet on the driver: languages x CODES."""
-    spark = rows.sparkSession
+    small_batches(rows.sparkSession)
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t"), F.col(lang_col).cast("string").alias("_l"))
     have = {r["_l"]: r["n"] for r in rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(have)
@@ -127,7 +129,6 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = np.zeros((CODES, len(languages)))
     key = found.column("key").to_numpy()
     counts[key & (CODES - 1), key >> 18] = found.column("n").to_numpy()
-    del spark
     return Model(languages, counts)
 
 
@@ -197,6 +198,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
     schema = docs.select(*kept).schema
     spark = docs.sparkSession
+    small_batches(spark)
     table = spark.sparkContext.broadcast((model.languages, model.p))  # languages x CODES floats: bounded by the model
 
     def run(batches):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import text_of
+from mapgauge.llm.common import small_batches, text_of
 
 #: Fixed values of the wave container: format tags and the bits of a sample.
 MULAW, ALAW, ADPCM, PCM = 7, 6, 17, 1
@@ -197,6 +197,7 @@ def store_audio(df: DataFrame, payload_col: str, out_col: str = "media", tag: in
     what an array holds (2 GB). Other columns stay; one called out_col is replaced."""
     kept = [c for c in df.columns if c != out_col]
     schema = df.select(*kept).schema.add(out_col, "binary")
+    small_batches(df.sparkSession)
 
     def run(batches):
         for b in batches:
