@@ -226,7 +226,8 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """The mix itself: for every output slot the pieces of documents it holds, blocks joined by their index."""
-        both = self.slots().join(self.block_pieces(), ["_s", "_block"]).where("at < _most")
+        # slots grow with the data, though the plan that they are made of looks small to the optimizer
+        both = self.slots().join(self.block_pieces().hint("merge"), ["_s", "_block"]).where("at < _most")
         return both.withColumn("words", F.least("words", F.col("_most") - F.col("at"))).drop("_most", "at")
 
     def documents(self) -> DataFrame:
