@@ -10,6 +10,8 @@ from mapgauge.functions import geo, text
 from mapgauge.operators import coords, coverage, metrics, pairs, relational, sampling, stats
 from mapgauge.sources import connectors, readers
 
+#: White space at the ends of answers, as a literal of SQL.
+_WS = "'" + text.SPACE + "'"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 EVENTS = ("click", "error", "purchase", "signup", "view")
@@ -124,15 +126,15 @@ def coord_error_meters(spark, sf):
 
 # --- directions and classes -----------------------------------------------------------------------------------
 
-VARIANT = ("NorthEast", "north east.", " South-West,", "southwest", "North", "west.", "up", "SOUTH EAST")
+VARIANT = ("NorthEast", "north east.", " South-West,", "southwest", "North", "west.", "up", "SOUTH EAST", "north\n", "\tsouth west.\r\n", "\u00a0East,\u2003")
 
 
-@query(f"""WITH t AS (SELECT event_id, [{", ".join(f"'{v}'" for v in VARIANT)}][event_id % 8 + 1] AS answer FROM events),
-v1 AS (SELECT *, replace(replace(replace(replace(trim(lower(replace(replace(trim(answer), '.', ''), ',', ''))), 'northeast', 'north-east'), 'northwest', 'north-west'), 'southeast', 'south-east'), 'southwest', 'south-west') AS d1,
-  trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(trim(lower(coalesce(answer, ''))), 'northeast', 'north-east'), 'north east', 'north-east'), 'northwest', 'north-west'), 'north west', 'north-west'), 'southeast', 'south-east'), 'south east', 'south-east'), 'southwest', 'south-west'), 'south west', 'south-west'), '.', ''), ',', '')) AS d2 FROM t)
+@query(f"""WITH t AS (SELECT event_id, [{", ".join(f"'{v}'" for v in VARIANT)}][event_id % {len(VARIANT)} + 1] AS answer FROM events),
+v1 AS (SELECT *, replace(replace(replace(replace(trim(lower(replace(replace(trim(answer, {_WS}), '.', ''), ',', '')), {_WS}), 'northeast', 'north-east'), 'northwest', 'north-west'), 'southeast', 'south-east'), 'southwest', 'south-west') AS d1,
+  trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(trim(lower(coalesce(answer, '')), {_WS}), 'northeast', 'north-east'), 'north east', 'north-east'), 'northwest', 'north-west'), 'north west', 'north-west'), 'southeast', 'south-east'), 'south east', 'south-east'), 'southwest', 'south-west'), 'south west', 'south-west'), '.', ''), ',', ''), {_WS}) AS d2 FROM t)
 SELECT d1, d2, d2 IN ('north','south','east','west','north-east','north-west','south-east','south-west') AS valid, count(*) AS n FROM v1 GROUP BY d1, d2""")
 def direction_normalize(spark, sf):
-    a = F.get(F.array(*[F.lit(v) for v in VARIANT]), (F.col("event_id") % 8).cast("int"))
+    a = F.get(F.array(*[F.lit(v) for v in VARIANT]), (F.col("event_id") % len(VARIANT)).cast("int"))
     e = table(spark, sf, "events").select(a.alias("answer"))
     e = e.select(text.direction_v1("answer", True).alias("d1"), text.direction("answer").alias("d2"))
     return e.withColumn("valid", text.is_direction("d2")).groupBy("d1", "d2", "valid").agg(F.count(F.lit(1)).alias("n"))
@@ -193,16 +195,20 @@ def confusion_wide(spark, sf):
     return metrics.confusion_wide(metrics.counts(d, "q", "t"), ("0", "1"))
 
 
-ANSWER = r"""trim(regexp_replace(rtrim(lower(trim({c})), '.,;:!?'), '^(the|a|an) ', ''))"""
+ANSWER = r"""trim(regexp_replace(rtrim(lower(trim({c}, {w})), '.,;:!?'), '^(the|a|an) ', ''), {w})"""
+#: Ends that answers come with, by turn.
+ENDS = ("", ".\n", "\t", " !\r\n", "\u3000")
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
-a AS (SELECT role, {ANSWER.format(c="text")} AS x, {ANSWER.format(c="nxt")} AS y FROM c)
+@query(f"""WITH t AS (SELECT conv_id, turn, role, text || [{", ".join(f"'{v}'" for v in ENDS)}][turn % {len(ENDS)} + 1] AS text FROM conversations),
+c AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM t),
+a AS (SELECT role, {ANSWER.format(c="text", w=_WS)} AS x, {ANSWER.format(c="nxt", w=_WS)} AS y FROM c)
 SELECT role, count(*) AS total, count(*) FILTER (WHERE x = y) AS correct, count(*) FILTER (WHERE y IS NULL) AS errors,
        round(sum(length(x))::DOUBLE / count(*), 6) AS mean_length, round((count(*) FILTER (WHERE x = y))::DOUBLE / count(*), 6) AS accuracy
 FROM a GROUP BY role""")
 def answer_normalize_accuracy(spark, sf):
-    c = table(spark, sf, "conversations")
+    end = F.get(F.array(*[F.lit(v) for v in ENDS]), (F.col("turn") % len(ENDS)).cast("int"))
+    c = table(spark, sf, "conversations").withColumn("text", F.concat("text", end))
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     a = c.withColumn("nxt", nxt).select("role", text.short_answer("text").alias("x"), text.short_answer("nxt").alias("y"))
     return a.groupBy("role").agg(
@@ -228,6 +234,7 @@ def pooled_accuracy(spark, sf):
 REPLIES = (
     "I think so. Answer: A [overlaps/is within] B", "answer: x [foo] y", "Answer: A [is within/contains] B. Answer: C [touches] D", "the town borders the lake",
     "disjoint", "equals", "[has/straddles]", "It lies inside the park", "nothing to say", "[partly / EQUALS]", "they are separated", "Answer: none",
+    "[ within\n]", "Answer: A [\ttouches\n] B", "\nequals\n", "[x/ overlaps\u00a0]",
 )
 
 
@@ -236,18 +243,19 @@ def _replies(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", a.alias("reply"))
 
 
-REPLY = f"r AS (SELECT conv_id, turn, [{', '.join(repr(v) for v in REPLIES)}][(conv_id + turn) % {len(REPLIES)} + 1] AS reply FROM conversations)"
+_Q = lambda v: "'" + v + "'"
+REPLY = f"r AS (SELECT conv_id, turn, [{', '.join(map(_Q, REPLIES))}][(conv_id + turn) % {len(REPLIES)} + 1] AS reply FROM conversations)"
 
 
 def _valid_sql(section: str) -> str:
     names = ", ".join(f"'{p}'" for p in text.PREDICATES)
     bracket = f"string_split(string_split({section}, '[')[2], ']')[1]"
-    parts = f"list_transform(string_split({bracket}, '/'), lambda p: CASE WHEN contains(p, 'is within') THEN 'within' ELSE trim(p) END)"
+    parts = f"list_transform(string_split({bracket}, '/'), lambda p: CASE WHEN contains(p, 'is within') THEN 'within' ELSE trim(p, {_WS}) END)"
     found = f"CASE WHEN contains(c, 'answer:') AND contains({section}, '[') AND contains({section}, ']') THEN list_filter({parts}, lambda p: p IN ({names}))[1] END"
     return f"coalesce({found}, {', '.join(f"CASE WHEN contains(c, '{p}') THEN '{p}' END" for p in text.PREDICATES)}, 'invalid')"
 
 
-@query(f"""WITH {REPLY}, l AS (SELECT lower(trim(reply)) AS c FROM r)
+@query(f"""WITH {REPLY}, l AS (SELECT lower(trim(reply, {_WS})) AS c FROM r)
 SELECT {_valid_sql("string_split(c, 'answer:')[2]")} AS first_answer, {_valid_sql("string_split(c, 'answer:')[-1]")} AS last_answer, count(*) AS n FROM l GROUP BY 1, 2""")
 def predicate_parse(spark, sf):
     r = _replies(spark, sf).select(text.predicate("reply").alias("first_answer"), text.predicate("reply", True).alias("last_answer"))
@@ -267,8 +275,8 @@ _NAMES = ", ".join(f"'{p}'" for p in text.PREDICATES)
 
 @query(rf"""WITH {REPLY}, l AS (SELECT lower(reply) AS c, regexp_extract(lower(reply), '^[^\[]*\[([^\]]+)\]', 1) AS inside FROM r),
 p AS (SELECT c, nullif(inside, '') AS inside, string_split(inside, '/') AS parts FROM l),
-b AS (SELECT *, coalesce(list_filter(list_transform(parts, lambda p: {_canon_sql("trim(p)")}), lambda p: p IS NOT NULL)[1], trim(parts[1])) AS bracket FROM p)
-SELECT CASE WHEN inside IS NOT NULL THEN bracket WHEN trim(c) IN ({_NAMES}) THEN trim(c) ELSE {_any_sql("c")} END AS strict,
+b AS (SELECT *, coalesce(list_filter(list_transform(parts, lambda p: {_canon_sql(f"trim(p, {_WS})")}), lambda p: p IS NOT NULL)[1], trim(parts[1], {_WS})) AS bracket FROM p)
+SELECT CASE WHEN inside IS NOT NULL THEN bracket WHEN trim(c, {_WS}) IN ({_NAMES}) THEN trim(c, {_WS}) ELSE {_any_sql("c")} END AS strict,
        CASE WHEN inside IS NOT NULL THEN bracket ELSE {_any_sql("c")} END AS compat, count(*) AS n FROM b GROUP BY 1, 2""")
 def predicate_canonicalize(spark, sf):
     r = _replies(spark, sf).select(text.canonical("reply").alias("strict"), text.canonical("reply", strict=False).alias("compat"))
@@ -276,7 +284,7 @@ def predicate_canonicalize(spark, sf):
 
 
 @query(rf"""WITH {REPLY}, l AS (SELECT reply, nullif(regexp_extract(reply, '\[([^\]]+)\]', 1), '') AS inside FROM r),
-m AS (SELECT CASE WHEN inside IS NOT NULL THEN nullif(array_to_string(list_transform(list_filter(list_transform(string_split(inside, '/'), lambda p: lower(trim(p))), lambda p: p <> ''), lambda p: coalesce({_canon_sql("p")}, p)), '/'), '')
+m AS (SELECT CASE WHEN inside IS NOT NULL THEN nullif(array_to_string(list_transform(list_filter(list_transform(string_split(inside, '/'), lambda p: lower(trim(p, {_WS}))), lambda p: p <> ''), lambda p: coalesce({_canon_sql("p")}, p)), '/'), '')
   ELSE {_any_sql("lower(reply)")} END AS labels FROM l)
 SELECT labels, count(*) AS n, count(*) FILTER (WHERE list_contains(string_split(labels, '/'), 'within')) AS names_within FROM m GROUP BY labels""")
 def predicate_multi(spark, sf):
@@ -385,7 +393,7 @@ def predicate_frequency(spark, sf):
 # --- distances and values -------------------------------------------------------------------------------------
 
 TOLD = ("Answer: ~2,900 km", "2 560 km", "42.65 and 1356.6", "about 12", "no digits", "", "7 km or 80 kilometers", "1,234.5KM away")
-TOLD_WIDE = (*TOLD, "2 560 km")
+TOLD_WIDE = (*TOLD, "\n", "\t\u00a0\n", "2 560 km")
 
 
 def _told(spark, sf):
@@ -395,7 +403,7 @@ def _told(spark, sf):
 
 _W = text.WIDE
 _NUM = text.NUMBER
-TOLD_SQL = f"""told AS (SELECT doc_id, [{", ".join(repr(v) if v.isascii() else "'" + v + "'" for v in TOLD_WIDE)}][doc_id % {len(TOLD_WIDE)} + 1] AS output,
+TOLD_SQL = f"""told AS (SELECT doc_id, [{", ".join("'" + v.replace("'", "''") + "'" for v in TOLD_WIDE)}][doc_id % {len(TOLD_WIDE)} + 1] AS output,
   doc_id * 3.0::DOUBLE AS truth, CASE WHEN doc_id % 2 = 0 THEN 1267.0::DOUBLE END AS predicted_dis FROM documents),
 x AS (SELECT *, nullif(regexp_extract(output, '(?i)({_NUM})[\\s{_W}]*(?:km|kilometers)', 1), '') AS unit, regexp_extract_all(output, '({_NUM})', 1) AS every FROM told),
 y AS (SELECT *, list_filter(every, lambda v: coalesce(TRY_CAST(regexp_replace(v, '[,\\s{_W}]', '', 'g') AS DOUBLE), -1) >= 50)[1] AS far, every[-1] AS last FROM x),
@@ -409,7 +417,7 @@ def distance_extract(spark, sf):
     return d.groupBy("cleaned", "value", "strategy").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {TOLD_SQL}, v AS (SELECT *, trim(output) = '' AND predicted_dis IS NOT NULL AS fb FROM dist),
+@query(f"""WITH {TOLD_SQL}, v AS (SELECT *, trim(output, {_WS}) = '' AND predicted_dis IS NOT NULL AS fb FROM dist),
 e AS (SELECT CASE WHEN fb THEN 'fallback_predicted_dis' ELSE strategy END AS strategy, abs(CASE WHEN fb THEN predicted_dis ELSE TRY_CAST(cleaned AS DOUBLE) END - truth) AS e FROM v)
 SELECT strategy, count(*) AS n, count(e) AS parsed, round(avg(e), 6) AS mean_error, round(median(e), 6) AS median_error FROM e GROUP BY strategy""")
 def distance_error(spark, sf):
@@ -433,7 +441,7 @@ GAZ = ("the, Texas", "and, Ohio", "le, France", "que, France", "of the, Maine")
 
 
 @query(f"""WITH g AS (SELECT unnest([{", ".join(repr(x) for x in GAZ)}]) AS name, unnest([{", ".join(str(i) for i in range(len(GAZ)))}]) AS ord),
-c AS (SELECT lower(trim(string_split(name, ',')[1])) AS city, ord FROM g),
+c AS (SELECT lower(trim(string_split(name, ',')[1], {_WS})) AS city, ord FROM g),
 m AS (SELECT d.doc_id, c.city, c.ord, strpos(lower(d.text), ' ' || c.city || ' ') AS p FROM documents d JOIN c ON contains(lower(d.text), ' ' || c.city || ' ')
   WHERE c.city <> CASE WHEN d.doc_id % 2 = 0 THEN 'the' ELSE 'none' END),
 f AS (SELECT doc_id, arg_min(city, p * 1000 + ord) AS place FROM m GROUP BY doc_id)
@@ -543,11 +551,11 @@ def mann_whitney(spark, sf):
 
 @query("""WITH v AS (SELECT event_type AS s, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id, value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n
   FROM events WHERE event_type IN ('click', 'view')),
-d AS (SELECT s, rep, ('0x' || substr(md5('0-' || rep || '-' || s || '-' || r), 1, 12))::BIGINT % n AS pick FROM v, (SELECT unnest(range(50)) AS rep)),
+d AS (SELECT s, rep, ('0x' || substr(md5('0-' || rep || '-' || s || '-' || r), 1, 12))::BIGINT % n AS pick FROM v, (SELECT unnest(range(2000)) AS rep)),
 m AS (SELECT d.rep, median(v.v) FILTER (WHERE d.s = 'click') - median(v.v) FILTER (WHERE d.s = 'view') AS x FROM d JOIN v ON d.s = v.s AND d.pick = v.r GROUP BY d.rep)
 SELECT round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.975), 6) AS high FROM m""")
 def bootstrap_median_diff(spark, sf):
-    """2000 resamples. The SQL still takes 50; tests hold the query against 2000."""
+    """2000 resamples."""
     out = stats.bootstrap_median_difference(table(spark, sf, "events"), "value", "event_type", "click", "view", "event_id", reps=2000)
     return rounded(out, "low", "median", "high")
 
@@ -571,10 +579,10 @@ def coverage_missing_extra(spark, sf):
     return coverage.missing_extra(table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1"), "doc_id")
 
 
-@query(f"""WITH {PRED}, h AS (SELECT user_id, list(DISTINCT temperature) AS have FROM pred WHERE event_id % 5 = 0 GROUP BY user_id)
+@query(f"""WITH {PRED}, h AS (SELECT user_id, list(DISTINCT temperature) AS have FROM pred GROUP BY user_id)
 SELECT user_id, array_to_string(list_transform(list_sort(list_filter([0.25, 0.5, 1.0]::DOUBLE[], lambda t: NOT list_contains(have, t))), lambda t: (t * 100)::INT), ',') AS missing, len(have) = 3 AS complete FROM h""")
 def coverage_by_temp(spark, sf):
-    """A19, over all answers. The SQL still looks at a fifth of the events; tests hold the query against all."""
+    """A19, over all answers."""
     out = coverage.by_setting(predictions(spark, sf), "user_id", "temperature", [0.25, 0.5, 1.0])
     return out.withColumn("missing", F.array_join(F.transform("missing", lambda t: (t * 100).cast("int").cast("string")), ","))
 
@@ -663,13 +671,42 @@ def k_per_group(spark, sf):
 # --- prompts, joins, files ------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey, 'Write a sentence about a place near ' || n_name || '.' || chr(10) AS near,
-  'How far is ' || c_name || ' from ' || n_name || '?' AS p2, 'Distance in km between ' || c_name || ' and ' || n_name || ':' AS p4,
-  'Choose one of: contains, crosses, disjoint, equals, overlaps, touches, within.' || chr(10) || 'Sentence: ' || c_name || chr(10) || 'Subject: ' || c_mktsegment || chr(10) || 'Object: ' || n_name || chr(10) || 'Answer: ' AS topo
-FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+_AT = "printf(' (%.4f, %.4f)', {a}, {b})"
+_PLACES = f"""p AS (SELECT c_custkey, c_name, n_name, c_mktsegment, {_AT.format(a=LAT.format(k="c_custkey"), b=LON.format(k="c_custkey"))} AS c_at, {_AT.format(a=LAT.format(k="c_nationkey"), b=LON.format(k="c_nationkey"))} AS n_at
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+_ASKED = "'Question: What is the distance in kilometers between ' || c_name || {c} || ' and ' || n_name || {n} || '? {ask}' || chr(10) || 'Answer:'"
+_SHOWN = "'Question: Distance between ' || n_name || {n} || ' and ' || c_name || {c} || '? Answer: {before}' || c_custkey || '{after}' || chr(10)"
+_NUMBER, _WHY = "Answer exactly with the number only.", "Explain your reasoning and how the distance is found"
+
+
+def _shot_sql(p: str, before: str, after: str, ask: str) -> str:
+    at = {"c": "c_at", "n": "n_at"} if p in ("p2", "p4") else {"c": "''", "n": "''"}
+    core = _ASKED.format(ask=ask, **at)
+    return f"{core} AS {p}, 'Here are some examples:' || chr(10) || chr(10) || {_SHOWN.format(before=before, after=after, **at)} || chr(10) || 'Now fulfill the following:' || chr(10) || {core} AS {p}_shots"
+
+
+@query(f"""WITH {_PLACES} SELECT c_custkey, n_name || ' is near ' AS near, split_part(n_name || ', ' || c_mktsegment, ',', 1) || ' is far from ' AS far, c_name || ' is close to ' AS close, c_name || ' and ' AS and_,
+  n_name || ' and ' || c_name || '.' || chr(10) || chr(10) || n_name || ' and ' || c_name || '.' || chr(10) || chr(10) || n_name || ' and ' || c_name || '.' || chr(10) || chr(10) || c_mktsegment || ' and' AS and_shots,
+  {_shot_sql("p1", "", "", _NUMBER)}, {_shot_sql("p2", "", "", _NUMBER)},
+  {_shot_sql("p3", "The distance is approximately ", " km. This is calculated using spatial geometry.", _WHY + ".")},
+  {_shot_sql("p4", "Using the Haversine formula on these coordinates, the distance is ", " km.", _WHY + " using these coordinates.")},
+  '<|start|>system' || chr(10) || 'You are an expert in topological spatial reasoning.<|end|>' || chr(10) || '<|start|>user' || chr(10) || 'Sentence: ' || c_name || chr(10) || 'Subject: ' || c_mktsegment || chr(10) || 'Object: ' || n_name || '<|end|>' || chr(10) || '<|start|>assistant' || chr(10) AS topo,
+  '<|start|>system' || chr(10) || 'You are an expert in topological spatial reasoning.<|end|>' || chr(10) || '<|start|>user' || chr(10) || chr(10) || chr(10) || '--- EXAMPLES ---' || chr(10) || chr(10) || 'User query: given the sentence: A ' || c_name || ' B and A is ' || c_mktsegment || ', B is ' || n_name || '.' || chr(10)
+    || 'Analysis: Based on the spatial context of ' || chr(39) || c_name || chr(39) || ' between a ' || c_mktsegment || ' and a ' || n_name || ', the standard topological relation matches.' || chr(10) || 'Answer: A [within] B' || chr(10) || '--- END EXAMPLES ---' || chr(10) || chr(10)
+    || 'Sentence: ' || c_name || chr(10) || 'Subject: ' || c_mktsegment || chr(10) || 'Object: ' || n_name || '<|end|>' || chr(10) || '<|start|>assistant' || chr(10) || 'touches<|end|>' AS topo_row
+FROM p""")
 def prompt_templates(spark, sf):
+    """Every type, without and with exemplars."""
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select("c_custkey", text.sentence_prompt("n_name", "near").alias("near"), text.distance_prompt("p2", "c_name", "n_name").alias("p2"), text.distance_prompt("p4", "c_name", "n_name").alias("p4"), text.topology_prompt("c_name", "c_mktsegment", "n_name").alias("topo"))
+    here, there = (lat("c_custkey"), lon("c_custkey")), (lat("c_nationkey"), lon("c_nationkey"))
+    both, six = ("c_name", "n_name"), ["n_name", "c_name"] * 3
+    out = [text.sentence_prompt("n_name", "near").alias("near"), text.sentence_prompt(F.concat("n_name", F.lit(", "), "c_mktsegment"), "far", state=False).alias("far"), text.sentence_prompt("c_name", "close").alias("close"), text.sentence_prompt("c_name", "and").alias("and_"), text.sentence_prompt("c_mktsegment", "and", exemplars=six).alias("and_shots")]
+    for p in ("p1", "p2", "p3", "p4"):
+        shown = F.array(text.distance_exemplar(p, "n_name", "c_name", "c_custkey", *there, *here))
+        out += [text.distance_prompt(p, *both, *here, *there).alias(p), text.distance_prompt(p, *both, *here, *there, exemplars=shown).alias(f"{p}_shots")]
+    topo = ("c_name", "c_mktsegment", "n_name")
+    shown = F.array(text.topology_exemplar(*topo, F.lit("within")))
+    return c.select("c_custkey", *out, text.topology_prompt(*topo).alias("topo"), text.topology_prompt(*topo, relation=F.lit("touches"), exemplars=shown).alias("topo_row"))
 
 
 @query("""SELECT c_custkey, 'system|Answer with a direction.|user|' || c_name || '?' AS flat, 2::BIGINT AS n FROM customer""")
@@ -731,10 +768,10 @@ def named_places(spark, sf):
     return c.where(F.size("p") > 0).select("conv_id", "turn", F.array_join("p", ",").alias("places"))
 
 
-@query("""SELECT o_orderpriority AS key, array_to_string(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey)[1:5], ',') AS top
+@query("""SELECT o_custkey AS key, array_to_string(list(o_orderkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey), ',') AS top
 FROM orders GROUP BY 1""")
 def listed_by_metric(spark, sf):
-    """A list sorted by a metric, as text: all orders of each customer. The SQL still lists five of each priority."""
+    """A list sorted by a metric, as text: all orders of each customer."""
     o = table(spark, sf, "orders").select("o_custkey", F.struct(F.col("o_totalprice").isNull().alias("none"), (-F.col("o_totalprice")).alias("k"), "o_orderkey").alias("x"))
     return o.groupBy(F.col("o_custkey").alias("key")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["o_orderkey"].cast("string")), ",").alias("top"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mapgauge.functions.text import strip
+
 BAD = "_corrupt_record"
 
 
@@ -70,7 +72,7 @@ def matching(spark: SparkSession, folder, pattern: str, schema) -> DataFrame:
 
 
 def xz_lines(spark: SparkSession, path) -> DataFrame:
-    """Lines of xz files, one task a file; a file is decompressed as a stream, not held."""
+    """Lines of xz files, one task a file. The compressed file is one row (2 GB at most); what it holds is decompressed as a stream."""
 
     def run(batches):
         import pandas as pd
@@ -110,7 +112,7 @@ def report_fields(text: Column | str) -> dict[str, Column]:
     out = {}
     for name, (label, kind) in REPORT.items():
         value = r"([^\n]*)" if kind == "string" else r"(-?[0-9]+(?:\.[0-9]+)?)"
-        got = F.nullif(F.trim(F.regexp_extract(c, rf"(?m)^\s*{label}[^:\n]*:\s*{value}", 1)), F.lit(""))
+        got = F.nullif(strip(F.regexp_extract(c, rf"(?m)^\s*{label}[^:\n]*:\s*{value}", 1)), F.lit(""))
         out[name] = got if kind == "string" else got.try_cast(kind)
     return out
 

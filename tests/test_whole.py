@@ -1,4 +1,4 @@
-"""Queries that take in all rows, against brute force. The SQL of these queries holds a cut and is left as it is."""
+"""Queries that take in all rows, against brute force."""
 
 import hashlib
 import inspect
