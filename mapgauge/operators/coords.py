@@ -113,21 +113,20 @@ def recover_by_group(pairs: DataFrame, places: DataFrame, group: str, most: int
 
 
 def align_by_group(df: DataFrame, group: str, x: tuple[str, str], y: tuple[str, str]) -> DataFrame:
-    """M5 for each group, from sums alone: the covariance and means come from one aggregate, and only they are turned into
-    a rotation, so no group's rows are gathered."""
+    """M5 for each group, from sums alone: the covariance and means come from one aggregate. The rotation that singular vectors
+    give of a 2 by 2 covariance is its polar factor, which has a closed form, so no group's rows are gathered and
+    nothing leaves the JVM. Null where the points do not spread."""
     n = F.count(F.lit(1))
     cov = [(F.sum(F.col(a) * F.col(b)) - F.sum(a) * F.sum(b) / n).alias(f"c{i}{j}") for i, a in enumerate(x) for j, b in enumerate(y)]
     var = sum((F.sum(F.col(a) * F.col(a)) - F.sum(a) * F.sum(a) / n) for a in x)
     means = [F.avg(c).alias(f"m{i}") for i, c in enumerate((*x, *y))]
     sums = df.groupBy(group).agg(n.alias("n"), *cov, var.alias("v"), *means)
-
-    @F.pandas_udf("r00 double, r01 double, r10 double, r11 double, tx double, ty double, s double")
-    def solve(c00: pd.Series, c01: pd.Series, c10: pd.Series, c11: pd.Series, v: pd.Series, m0: pd.Series, m1: pd.Series, m2: pd.Series, m3: pd.Series) -> pd.DataFrame:
-        c = np.stack([np.stack([c00, c01], -1), np.stack([c10, c11], -1)], 1).astype(float)
-        u, _, vt = np.linalg.svd(c)
-        r = np.swapaxes(vt, 1, 2) @ np.swapaxes(u, 1, 2)
-        s = (c[:, 0, 0] + c[:, 1, 1]) / np.where(v == 0, np.nan, v)
-        t = np.stack([m2, m3], -1) - s[:, None] * np.einsum("nij,nj->ni", r, np.stack([m0, m1], -1))
-        return pd.DataFrame({"r00": r[:, 0, 0], "r01": r[:, 0, 1], "r10": r[:, 1, 0], "r11": r[:, 1, 1], "tx": t[:, 0], "ty": t[:, 1], "s": s})
-
-    return sums.select(group, "n", solve("c00", "c01", "c10", "c11", "v", "m0", "m1", "m2", "m3").alias("_t")).select(group, "n", "_t.*")
+    a, b, c, d = (F.col(k) for k in ("c00", "c01", "c10", "c11"))
+    turned = a * d - b * c >= 0  # else a reflection
+    p, q = F.when(turned, a + d).otherwise(a - d), F.when(turned, c - b).otherwise(c + b)
+    long = F.sqrt(p * p + q * q)
+    out = sums.withColumn("r00", F.try_divide(p, long)).withColumn("r01", F.try_divide(q, long))
+    out = out.withColumn("r10", F.when(turned, -F.col("r01")).otherwise(F.col("r01"))).withColumn("r11", F.when(turned, F.col("r00")).otherwise(-F.col("r00")))
+    out = out.withColumn("s", F.try_divide(a + d, F.col("v")))
+    at = lambda i, j, m: F.col(m) - F.col("s") * (F.col(i) * F.col("m0") + F.col(j) * F.col("m1"))
+    return out.select(group, "n", "r00", "r01", "r10", "r11", at("r00", "r01", "m2").alias("tx"), at("r10", "r11", "m3").alias("ty"), "s")

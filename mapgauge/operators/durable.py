@@ -11,15 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, where driver
+    and executors are one process; an error anywhere else, for executors would not see each other's files."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set; {sc.master} needs a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, file: str = "") -> str:
+    """A new path in the shared folder, removed at exit; with `file` that file in it."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return f"{path}/{file}" if file else path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark, schema = df.sparkSession, df.schema

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mapgauge.operators.relational import quantiles, running
+
 KM = (1, 5, 10, 50, 100)
 METERS = (5, 10, 50, 100)
 
@@ -29,14 +31,22 @@ def accuracy(truth, predicted) -> Column:
 
 def error_summary(df: DataFrame, group: str, error: str, thresholds=KM) -> DataFrame:
     """A2-A5: per group and over all ('all'): rows, parsed, parse rate, mean, median, RMSE, counts and rates within
-    thresholds of the parsed. One grouping-sets aggregate; a null group is 'unknown', apart from 'all'."""
+    thresholds of the parsed. One grouping-sets aggregate, and medians from running counts; a null group is 'unknown', apart
+    from 'all'."""
     e = F.col(error)
-    aggs = [F.count(F.lit(1)).alias("total"), F.count(e).alias("parsed"), F.avg(e).alias("mean_error"), F.median(e).alias("median_error"), F.sqrt(F.avg(e * e)).alias("rmse")]
+    aggs = [F.count(F.lit(1)).alias("total"), F.count(e).alias("parsed"), F.avg(e).alias("mean_error"), F.sqrt(F.avg(e * e)).alias("rmse")]
     aggs += [F.count_if(e <= k).alias(f"within_{k}") for k in thresholds]
-    out = df.withColumn(group, F.coalesce(F.col(group), F.lit("unknown"))).rollup(group).agg(F.grouping(group).alias("_all"), *aggs)
-    out = out.withColumn(group, F.when(F.col("_all") == 1, "all").otherwise(F.col(group))).drop("_all")
+    df = df.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit("unknown")))
+    out = df.rollup(group).agg(F.grouping(group).cast("int").alias("_all"), *aggs)
+    # medians, of the groups and of all, from counts of equal errors
+    each = df.where(e.isNotNull()).groupBy(group, error).agg(F.count(F.lit(1)).alias("_n"))
+    both = each.withColumn("_all", F.lit(0)).unionByName(each.withColumn("_all", F.lit(1)).withColumn(group, F.lit(None).cast("string")))
+    middle = quantiles(both, error, [0.5], "_all", group, count="_n").select(F.col("_all").alias("_a"), F.col(group).alias("_g"), F.col("q")[0].alias("median_error"))
+    out = out.join(middle, (F.col("_all") == F.col("_a")) & F.col(group).eqNullSafe(F.col("_g")), "left")
+    out = out.withColumn(group, F.when(F.col("_all") == 1, "all").otherwise(F.col(group))).drop("_all", "_a", "_g")
     out = out.withColumn("parse_rate", ratio(F.col("parsed"), F.col("total")))
-    return out.withColumns({f"rate_{k}": ratio(F.col(f"within_{k}"), F.col("parsed")) for k in thresholds})
+    names = [group, "total", "parsed", "mean_error", "median_error", "rmse", *[f"within_{k}" for k in thresholds], "parse_rate"]
+    return out.select(*names, *[ratio(F.col(f"within_{k}"), F.col("parsed")).alias(f"rate_{k}") for k in thresholds])
 
 
 def meters_summary(df: DataFrame, error: str, *group: str) -> DataFrame:
@@ -49,7 +59,9 @@ def meters_summary(df: DataFrame, error: str, *group: str) -> DataFrame:
 def group_stats(df: DataFrame, value: str, *group: str) -> DataFrame:
     """Count, mean, median, sample deviation; null values and null keys are left out first."""
     df = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (value, *group)]))
-    return df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"))
+    out = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    middle = quantiles(df, value, [0.5], *group).select(*group, F.col("q")[0].alias("median"))  # no null group is left
+    return out.join(middle, list(group)).select(*group, "n", "mean", "median", "std")
 
 
 def labels_frame(spark, labels) -> DataFrame:
@@ -149,17 +161,9 @@ def versus_mean(df: DataFrame, value: str, band: float = 0.05) -> DataFrame:
     return df.crossJoin(F.broadcast(mean)).withColumn("difference", d).withColumn("effect", effect)
 
 
-def running_accuracy(df: DataFrame, order: str, correct: str, buckets: int = 64) -> DataFrame:
-    """Accuracy over all rows up to each. Two levels, so that no task sees all rows: running counts within ranges of
-    the order, plus the totals of the ranges before."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = 1 if lo is None else (hi - lo) // buckets + 1
-    df = df.withColumn("_b", F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("int"))
-    sums = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(correct).cast("int")).alias("_c"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over `buckets` rows
-    sums = sums.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))
-    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_n1", F.count(F.lit(1)).over(inside)).withColumn("_c1", F.sum(F.col(correct).cast("int")).over(inside))
-    df = df.join(F.broadcast(sums), "_b")
-    df = df.withColumn("seen", F.col("_n0") + F.col("_n1")).withColumn("running_accuracy", (F.col("_c0") + F.col("_c1")) / F.col("seen"))
-    return df.drop("_b", "_n0", "_c0", "_n1", "_c1")
+def running_accuracy(df: DataFrame, order: str, correct: str) -> DataFrame:
+    """Accuracy over all rows up to each, by an order that tells them apart; running sums over range partitions, of any number."""
+    rows = df.withColumn("_one", F.lit(1)).withColumn("_hit", F.col(correct).cast("int"))
+    rows = running(rows, [order], "_one", "_seen", more={"_hit": "_right"})
+    rows = rows.withColumn("seen", F.col("_seen") + 1).withColumn("running_accuracy", (F.col("_right") + F.coalesce("_hit", F.lit(0))) / F.col("seen"))
+    return rows.drop("_one", "_hit", "_seen", "_right")

@@ -32,6 +32,46 @@ def row_number(df: DataFrame, *order, name: str = "row") -> DataFrame:
     return rows.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_base") + F.col("_in")).drop("_p", "_in", "_base")
 
 
+def running(df: DataFrame, keys: list[str], count: str, name: str = "before", of: list[str] | None = None, more: dict[str, str] | None = None) -> DataFrame:
+    """df plus `name`: the sum of `count` over the rows before each in the order of keys, which tell all rows apart; and for each
+    {column: new name} in `more` another such sum. of: the leading keys that make a group; sums then start anew in each
+    group, and `<name>_of` is the group's whole sum. Rows are range-partitioned, summed within their partition and
+    written once; the sums of the partitions before, a row for each, are added. No task sees all rows of a group."""
+    sums = {count: name} | (more or {})
+    rows = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).withColumn("_p", F.spark_partition_id())
+    rows = durable(rows)
+    parts = rows.groupBy("_p").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums)])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = parts.select("_p", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    inside = Window.partitionBy("_p").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, n in sums.items()})
+    rows = rows.join(F.broadcast(parts), "_p").withColumns({n: F.col(n) + F.col(f"_b{i}") for i, n in enumerate(sums.values())}).drop("_p", *[f"_b{i}" for i in range(len(sums))])
+    if of is None:
+        return rows
+    first = rows.groupBy(*[F.col(c).alias(f"{c}__f") for c in of]).agg(F.min(name).alias("_first"), F.sum(count).alias(f"{name}_of"))
+    if not of:
+        return rows.crossJoin(F.broadcast(first)).drop("_first")  # one row
+    on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(first[f"{c}__f"]) for c in of])
+    return rows.join(first, on).withColumn(name, F.col(name) - F.col("_first")).drop("_first", *[f"{c}__f" for c in of])
+
+
+def quantiles(df: DataFrame, value: str, shares, *group: str, count: str | None = None, name: str = "q") -> DataFrame:
+    """The group and `name`, an array of the quantiles of value at `shares`, interpolated between neighbours; null values play no
+    part, a null group is a group. Equal values are counted before the shuffle (or come with their count), and a quantile is
+    found by its place among the running counts, so no group's values are gathered."""
+    x = df.where(F.col(value).isNotNull())
+    x = x.groupBy(*group, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_n"))
+    x = running(x, [*group, "_v"], "_n", "_at", of=list(group))
+    out = []
+    for p in shares:
+        place = (F.col("_at_of") - 1) * F.lit(float(p))
+        low, high = F.floor(place), F.ceil(place)
+        held = lambda k: F.max(F.when((F.col("_at") <= k) & (k < F.col("_at") + F.col("_n")), F.col("_v")))  # noqa: B023, E731
+        a, b = held(low), held(high)
+        out.append(a + (b - a) * F.max(place - low))
+    return x.groupBy(*group).agg(F.array(*out).alias(name))
+
+
 def number_within(df: DataFrame, group: list[str], order: list, name: str = "row") -> DataFrame:
     """Dense numbers from 0 within each group, and `<name>_of`, the group's size. A group of any size spans as many tasks as
     it needs: rows are numbered over all groups, and a group's first number is taken off. A null group is a group."""

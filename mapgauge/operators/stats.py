@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mapgauge.operators.durable import durable
-from mapgauge.operators.relational import number_within
+from mapgauge.operators.relational import number_within, quantiles, running
 
 
-def profile(df: DataFrame, columns) -> DataFrame:
-    """Count, mean, median, deviation, min and max of each numeric column, in one pass; std is null for one value."""
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")))
-    return df.agg(F.array(*aggs).alias("_s")).select(F.inline("_s"))
+def profile(df: DataFrame, columns, *group: str) -> DataFrame:
+    """Count, mean, median, deviation, min and max of each numeric column, of each group (file) where one is named; std is
+    null for one value. Columns become rows, so all medians come from one pass over running counts."""
+    one = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_x")) for c in columns]
+    rows = df.select(*group, F.inline(F.array(*one)))
+    x = F.col("_x")
+    out = rows.groupBy(*group, "column").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    middle = quantiles(rows, "_x", [0.5], *group, "column")
+    out = _beside(out, middle, [*group, "column"])
+    return out.select(*group, "column", "n", "mean", F.col("q")[0].alias("median"), "std", "min", "max")
+
+
+def _beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df left join other on keys, a null key meeting a null key."""
+    other = other.withColumnsRenamed({k: f"{k}__o" for k in keys})
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(other[f"{k}__o"]) for k in keys])
+    return df.join(other, on, "left").drop(*[f"{k}__o" for k in keys])
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -41,15 +52,12 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 def ranked(df: DataFrame, value: str, *group: str) -> DataFrame:
     """df plus `rank` (the mean rank of equal values, from 1) and `_size` (rows of the group); null values are left out.
 
-    Ranks come from the running count over the distinct values of a group, not from a window over its rows: what is
-    in one task is a group's distinct values, counted before the shuffle.
+    Ranks come from running counts over the distinct values, counted before the shuffle and range-partitioned, so neither
+    a group's rows nor its values are in one task.
     """
-    df = df.where(F.col(value).isNotNull())
-    n = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy(value)
-    n = n.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = n.withColumn("_size", F.sum("_n").over(Window.partitionBy(*group))).withColumn("rank", F.col("_before") + (F.col("_n") + 1) / 2)
-    return n
+    n = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    n = running(n, [*group, value], "_n", "_before", of=list(group))
+    return n.withColumnRenamed("_before_of", "_size").withColumn("rank", F.col("_before") + (F.col("_n") + 1) / 2)
 
 
 def ecdf(df: DataFrame, value: str, order: str, *group: str) -> DataFrame:
@@ -71,11 +79,13 @@ def histogram(df: DataFrame, value: str, bins: int = 50, zero: float | None = No
 
 def boxplot(df: DataFrame, value: str, *group: str) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
-    q = df.groupBy(*group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = quantiles(df, value, [0.25, 0.5, 0.75], *group)
+    q = q.select(*group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value)
-    inside = df.join(F.broadcast(q), list(group)).where((v >= F.col("q1") - fence) & (v <= F.col("q3") + fence))
+    values = df.groupBy(*group, value).agg(F.lit(1).alias("_one"))  # distinct values, before they meet the quartiles
+    both = _beside(values, q, list(group)) if group else values.crossJoin(F.broadcast(q))  # one row
+    inside = both.where((v >= F.col("q1") - fence) & (v <= F.col("q3") + fence))
     return inside.groupBy(*group, "q1", "median", "q3").agg(F.min(v).alias("whisker_low"), F.max(v).alias("whisker_high"))
 
 
@@ -95,9 +105,8 @@ def mann_whitney(df: DataFrame, value: str, side: str, first, second) -> DataFra
     """M9: U of the first side, z with tie correction and continuity, and its two-sided p by the normal approximation (asymptotic only)."""
     rows = df.where(F.col(side).isin(first, second) & F.col(value).isNotNull())
     cube = rows.groupBy(F.col(value).alias("_v")).agg(F.count_if(F.col(side) == first).alias("_a"), F.count_if(F.col(side) == second).alias("_b"))
-    cube = cube.withColumn("_n", F.col("_a") + F.col("_b"))
-    before = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    cube = cube.withColumn("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2)
+    cube = running(cube.withColumn("_n", F.col("_a") + F.col("_b")), ["_v"], "_n", "_before")
+    cube = cube.withColumn("_r", F.col("_before") + (F.col("_n") + 1) / 2)
     t = F.col("_n").cast("double")
     s = cube.agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(F.col("_a") * F.col("_r")).alias("_w"), F.sum(t * t * t - t).alias("_t"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")

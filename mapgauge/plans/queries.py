@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from mapgauge.functions import geo, text
 from mapgauge.operators import coords, coverage, metrics, pairs, relational, sampling, stats
-from mapgauge.sources import connectors, readers
+from mapgauge.operators.durable import scratch
+from mapgauge.plans import reports
+from mapgauge.sources import connectors, readers, sinks
 
 #: White space at the ends of answers, as a literal of SQL.
 _WS = "'" + text.SPACE + "'"
@@ -423,7 +425,10 @@ SELECT strategy, count(*) AS n, count(e) AS parsed, round(avg(e), 6) AS mean_err
 def distance_error(spark, sf):
     d = _told(spark, sf).withColumn("d", text.distance_or("output", "predicted_dis"))
     e = F.abs(F.col("d.value") - F.col("truth"))
-    return d.groupBy(F.col("d.strategy").alias("strategy")).agg(F.count(F.lit(1)).alias("n"), F.count(e).alias("parsed"), r6(F.avg(e), "mean_error"), r6(F.median(e), "median_error"))
+    d = d.select(F.coalesce("d.strategy", F.lit("")).alias("strategy"), e.alias("e"))
+    out = d.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.count("e").alias("parsed"), r6(F.avg("e"), "mean_error"))
+    out = out.join(relational.quantiles(d, "e", [0.5], "strategy"), "strategy", "left")
+    return out.select(F.nullif("strategy", F.lit("")).alias("strategy"), "n", "parsed", "mean_error", r6(F.col("q")[0], "median_error"))
 
 
 @query("""SELECT event_id, TRY_CAST(rtrim(trim(replace(replace(props, '{"k": ', ''), '}', '.')), '.') AS DOUBLE) AS value FROM events""")
@@ -843,11 +848,16 @@ def shuffled_head(spark, sf):
     return sampling.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id", 7).limit(30)
 
 
-@query()
+@query("""WITH e AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS u, embedding[4]::DOUBLE AS w FROM embeddings),
+c AS (SELECT label, count(*) AS n, sum(x * u) - sum(x) * sum(u) / count(*) AS a, sum(x * w) - sum(x) * sum(w) / count(*) AS b, sum(y * u) - sum(y) * sum(u) / count(*) AS c, sum(y * w) - sum(y) * sum(w) / count(*) AS d,
+  sum(x * x) - sum(x) * sum(x) / count(*) + sum(y * y) - sum(y) * sum(y) / count(*) AS v, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(w) AS mw FROM e GROUP BY label),
+t AS (SELECT *, CASE WHEN a * d - b * c >= 0 THEN atan2(b - c, a + d) ELSE atan2(b + c, a - d) END AS turn, a * d - b * c >= 0 AS proper, (a + d) / v AS s FROM c),
+r AS (SELECT *, cos(turn) AS r00, CASE WHEN proper THEN -sin(turn) ELSE sin(turn) END AS r01, sin(turn) AS r10, CASE WHEN proper THEN cos(turn) ELSE -cos(turn) END AS r11 FROM t)
+SELECT label, n, round(r00, 6) AS r00, round(r01, 6) AS r01, round(r10, 6) AS r10, round(r11, 6) AS r11, round(mu - s * (r00 * mx + r01 * my), 6) AS tx, round(mw - s * (r10 * mx + r11 * my), 6) AS ty, round(s, 6) AS s FROM r""")
 def umeyama_align(spark, sf):
-    """M5; property tests hold it."""
+    """M5. The SQL turns by an angle."""
     v = table(spark, sf, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    return coords.align_by_group(v, "label", ("e0", "e1"), ("e2", "e3"))
+    return rounded(coords.align_by_group(v, "label", ("e0", "e1"), ("e2", "e3")), "r00", "r01", "r10", "r11", "tx", "ty", "s")
 
 
 @query()
@@ -857,3 +867,204 @@ def mds_recover(spark, sf):
     q = p.select("group", F.col("name").alias("b"), F.col("lat").alias("y"), F.col("lon").alias("x"))
     d = p.join(q, "group").where("name <> b").select("group", F.col("name").alias("a"), "b", F.sqrt((F.col("lat") - F.col("y")) ** 2 + (F.col("lon") - F.col("x")) ** 2).alias("d"))  # places of one division
     return coords.recover_by_group(d, p, "group")
+
+
+# --- files: what sinks write, readers read back ---------------------------------------------------------------
+
+_NATION = "n_nationkey long, n_name string, n_regionkey long"
+_PLAIN = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"
+
+
+def _nation(spark, sf) -> DataFrame:
+    return table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+
+def _json_lines(df: DataFrame) -> list[str]:
+    return [r["value"] for r in sinks.json_report(df.orderBy("n_nationkey")).collect()]  # 25 rows of a dimension
+
+
+@query(_PLAIN)
+def jsonl_append_scan(spark, sf):
+    """A log written in two appends, read strictly."""
+    n, to = _nation(spark, sf), scratch(spark)
+    sinks.append_jsonl(n.where("n_regionkey < 2"), to)
+    sinks.append_jsonl(n.where("n_regionkey >= 2"), to)
+    return readers.jsonl(spark, to, _NATION, strict=True)
+
+
+@query(_PLAIN + " WHERE n_nationkey % 2 = 0")
+def jsonl_lenient_scan(spark, sf):
+    """R2: every other line is cut short, and blank lines stand between."""
+    n, to = _nation(spark, sf), scratch(spark)
+    line = F.to_json(F.struct("*"))
+    n.select(F.concat(F.when(F.col("n_nationkey") % 2 == 0, line).otherwise(F.substring(line, 1, 9)), F.lit("\n")).alias("value")).write.text(to)
+    return readers.jsonl(spark, to, _NATION)
+
+
+@query(_PLAIN)
+def json_array_scan(spark, sf):
+    """One file with an object that holds the rows."""
+    to = scratch(spark, "results.json")
+    sinks.put_text(spark, to, '{"results": [' + ",".join(_json_lines(_nation(spark, sf))) + "]}")
+    return readers.json_array(spark, to, _NATION, "results")
+
+
+@query(_PLAIN)
+def csv_append_scan(spark, sf):
+    """Headers in every part, names quoted where they need it."""
+    n, to = _nation(spark, sf), scratch(spark)
+    sinks.append_csv(n.where("n_regionkey < 2"), to)
+    sinks.append_csv(n.where("n_regionkey >= 2"), to)
+    return readers.csv(spark, to, _NATION)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name || '  of region ' || n_regionkey AS told FROM nation")
+def csv_plain_scan(spark, sf):
+    """K3: no quotes; commas and line ends in texts become spaces."""
+    to = scratch(spark)
+    told = F.concat("n_name", F.lit(",\nof region "), "n_regionkey")
+    sinks.append_plain_csv(_nation(spark, sf).select("n_nationkey", told.alias("told")), to, "told")
+    return readers.csv(spark, to, "n_nationkey long, told string")
+
+
+@query(_PLAIN + " WHERE n_regionkey = 3")
+def atomic_replace_scan(spark, sf):
+    """K4: a table that is replaced whole."""
+    n, to = _nation(spark, sf), scratch(spark)
+    sinks.replace_json(n, to)
+    sinks.replace_json(n.where("n_regionkey = 3"), to)
+    return readers.jsonl(spark, to, _NATION, strict=True)
+
+
+@query(_PLAIN)
+def csv_export_scan(spark, sf):
+    """K5: one file."""
+    to = scratch(spark)
+    sinks.export_csv(_nation(spark, sf), to)
+    return readers.csv(spark, to, _NATION)
+
+
+@query("SELECT n_name AS name, (n_nationkey % 90)::INT AS lat_deg, 30 AS lat_min, (n_nationkey * 3)::INT AS lng_deg, 15 AS lng_min, '10:00 pm' AS local_time FROM nation")
+def gazetteer_scan(spark, sf):
+    """Tab-separated places without a header."""
+    to = scratch(spark, "places.tsv")
+    rows = _nation(spark, sf).orderBy("n_nationkey").collect()  # a dimension
+    sinks.put_text(spark, to, "".join(f"{r['n_name']}\t{r['n_nationkey'] % 90}\t30\t{r['n_nationkey'] * 3}\t15\t10:00 pm\n" for r in rows))
+    return readers.gazetteer(spark, to)
+
+
+@query(f"SELECT kind, n_nationkey, n_name, n_regionkey FROM ({_PLAIN}), (SELECT unnest(['csv', 'tsv', 'jsonl', 'ndjson', 'json', 'parquet']) AS kind)")
+def suffix_scan(spark, sf):
+    """The reader is chosen by the suffix; a json file may hold lines or an array."""
+    n, to, out = _nation(spark, sf), scratch(spark), None
+    lines = _json_lines(n)
+    sinks.put_text(spark, f"{to}/a.jsonl", "\n".join(lines))
+    sinks.put_text(spark, f"{to}/a.ndjson", "\n\n".join(lines))
+    sinks.put_text(spark, f"{to}/a.json", "[\n" + ",\n".join(lines) + "\n]")
+    n.coalesce(1).write.csv(f"{to}/a.csv", header=True)
+    n.coalesce(1).write.csv(f"{to}/a.tsv", header=True, sep="\t")
+    n.write.parquet(f"{to}/a.parquet")
+    for kind in ("csv", "tsv", "jsonl", "ndjson", "json", "parquet"):
+        part = readers.by_suffix(spark, f"{to}/a.{kind}", _NATION).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(_PLAIN)
+def xz_scan(spark, sf):
+    """Lines of compressed files."""
+    import lzma
+
+    to = scratch(spark)
+    lines = _json_lines(_nation(spark, sf))
+    for k in range(2):
+        sinks.put_bytes(spark, f"{to}/{k}.jsonl.xz", lzma.compress("\n".join(lines[k::2]).encode()))
+    return readers.xz_lines(spark, f"{to}/*.xz").select(F.from_json("value", _NATION).alias("r")).select("r.*")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey, 'gen_' || (n_nationkey % 3) || '.jsonl' AS origin_file FROM nation WHERE n_nationkey % 3 < 2")
+def matching_files_scan(spark, sf):
+    """The files of a folder whose names match, with the file each row is of."""
+    to, lines = scratch(spark), _json_lines(_nation(spark, sf))
+    for k in range(3):
+        sinks.put_text(spark, f"{to}/{'gen' if k < 2 else 'other'}_{k}.jsonl", "\n".join(lines[k::3]))
+    return readers.matching(spark, to, "gen_*.jsonl", _NATION)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, CASE n_regionkey % 2 WHEN 0 THEN 'eval' ELSE 'finetune' END AS split, kind FROM nation, (SELECT unnest(['csv', 'json', 'parquet']) AS kind)")
+def split_files_scan(spark, sf):
+    """A folder for each split, in each format."""
+    n, to, out = _nation(spark, sf), scratch(spark), None
+    n = n.select("n_nationkey", "n_name", F.when(F.col("n_regionkey") % 2 == 0, "eval").otherwise("finetune").alias("split"))
+    for kind in ("csv", "json", "parquet"):
+        sinks.write_splits(n, f"{to}/{kind}", kind=kind)
+        back = spark.read.schema("n_nationkey long, n_name string, split string").options(header=True).format(kind).load(f"{to}/{kind}")
+        part = back.select("n_nationkey", "n_name", "split", F.lit(kind).alias("kind"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT n_nationkey::BIGINT AS id, '{\"n_nationkey\":' || n_nationkey || ',\"place\":{\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}}' AS value FROM nation")
+def json_report_rows(spark, sf):
+    """K6: rows as JSON texts, nested."""
+    n = _nation(spark, sf).select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("place"))
+    return sinks.json_report(n).select(F.get_json_object("value", "$.n_nationkey").cast("long").alias("id"), "value")
+
+
+@query("SELECT string_agg(line, chr(10) ORDER BY k) AS report FROM (SELECT -2 AS k, '| r_regionkey | r_name |' AS line UNION ALL SELECT -1, '|---|---|' UNION ALL SELECT r_regionkey, '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region)")
+def markdown_report(spark, sf):
+    """K8: a small result as a Markdown table."""
+    r = table(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")
+    return spark.createDataFrame([(reports.markdown_table(r).rstrip("\n"),)], "report string")
+
+
+# --- columns and keys -----------------------------------------------------------------------------------------
+
+
+@query("SELECT 'Latitude_deg' AS lat, 'LNG' AS lon, 'lat' AS second_lat, NULL::VARCHAR AS second_lon")
+def coordinate_column_names(spark, sf):
+    """by the start of a name, any case; null where there is none."""
+    n = _nation(spark, sf)
+    a = stats.coordinate_columns(n.selectExpr("n_nationkey as id", "n_regionkey as Latitude_deg", "n_regionkey as LNG"))
+    b = stats.coordinate_columns(n.selectExpr("n_nationkey as lat", "n_regionkey as east"))
+    return spark.createDataFrame([(*a, *b)], "lat string, lon string, second_lat string, second_lon string")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' AND user_id % 2 = 0 AND value > 10")
+def equality_filters(spark, sf):
+    """Several equalities at once, and records without the columns that are keys elsewhere."""
+    e = table(spark, sf, "events").where((F.col("event_type") == "click") & (F.col("user_id") % 2 == 0) & (F.col("value") > 10))
+    return e.drop(*[c for c in e.columns if c not in ("event_id", "user_id", "event_type")])
+
+
+@query("SELECT c_custkey, split_part(k, '/', 1) AS a, split_part(k, '/', 2) AS b, nullif(split_part(k, '/', 3), '') AS c, k FROM (SELECT c_custkey, c_mktsegment || '/' || c_nationkey AS k FROM customer)")
+def composite_keys(spark, sf):
+    """Keys joined, and taken apart again."""
+    k = table(spark, sf, "customer").select("c_custkey", text.composite_key("c_mktsegment", F.col("c_nationkey").cast("string")).alias("k"))
+    return k.select("c_custkey", *[text.key_part("k", i).alias(c) for i, c in enumerate("abc")], "k")
+
+
+@query("""SELECT n_nationkey, place, replace(trim(regexp_replace(lower(place || '?! of ' || n_name), '[^0-9a-z_]+', ' ', 'g')), ' ', ', ') AS city_b FROM
+(SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name || ', near' END AS place FROM nation)""")
+def generated_places(spark, sf):
+    """The fourth paragraph without its prefix; a text that has none gives null."""
+    n = _nation(spark, sf).select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit("a\n\nb\n\nc\n\nNear: "), "n_name", F.lit(", near"))).otherwise("a\n\nb").alias("t"))
+    n = n.withColumn("place", text.generated_place("t", F.lit("Near: ")))
+    return n.select("n_nationkey", "place", text.city_b(F.concat("place", F.lit("?! of "), "n_name")).alias("city_b"))
+
+
+@query(f"""WITH {PRED}, t AS (SELECT event_id, truth FROM pred), p AS (SELECT event_id, temperature, predicted FROM pred WHERE event_id % 4 > 0)
+SELECT temperature, count(*) AS matched, sum((t.truth = p.predicted)::INT)::BIGINT AS correct FROM t JOIN p ON t.event_id = p.event_id GROUP BY temperature""")
+def truth_join_predictions(spark, sf):
+    """A table of truths and a log of answers that lacks some, joined by id, scored at each temperature."""
+    p = predictions(spark, sf)
+    truth, log = p.select("event_id", "truth"), p.where("event_id % 4 > 0").select("event_id", "temperature", "predicted")
+    both = truth.join(log, "event_id")
+    return both.groupBy("temperature").agg(F.count(F.lit(1)).alias("matched"), F.sum((F.col("truth") == F.col("predicted")).cast("int")).alias("correct"))
+
+
+@query("""SELECT event_type, c AS column, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max
+FROM (SELECT event_type, 'value' AS c, value::DOUBLE AS v FROM events UNION ALL SELECT event_type, 'user_id', user_id::DOUBLE FROM events) GROUP BY 1, 2""")
+def profile_by_file(spark, sf):
+    """A17 for each file; event_type stands for the file."""
+    return rounded(stats.profile(table(spark, sf, "events"), ["value", "user_id"], "event_type"), "mean", "median", "std", "min", "max")
