@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,12 +193,12 @@ class Mix:
 
         def deal(batches):
             for b in batches:
-                for g, s, first, n in b.itertuples(index=False):
-                    own = np.array(draws(list(n), size, seed * 1_000_003 + int(g) + 1), np.int64).reshape(-1, 4)
-                    s, first = np.asarray(s), np.asarray(first)
-                    yield pd.DataFrame({"shard": int(g) * GROUP + own[:, 0], "_s": s[own[:, 1]].astype(np.int32), "first": first[own[:, 1]] + own[:, 2], "n": own[:, 3]})
+                for g, s, first, n in zip(*(b.column(c).to_pylist() for c in ("g", "s", "first", "n")), strict=True):
+                    own = np.array(draws(n, size, seed * 1_000_003 + g + 1), np.int64).reshape(-1, 4)
+                    s, first = np.array(s, np.int32), np.array(first, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g * GROUP + own[:, 0], s[own[:, 1]], first[own[:, 1]] + own[:, 2], own[:, 3])], names=["shard", "_s", "first", "n"])
 
-        return table.repartition(max(1, min(len(rows), partitions(self.spark)))).mapInPandas(deal, "shard long, _s int, first long, n long")
+        return table.repartition(max(1, min(len(rows), partitions(self.spark)))).mapInArrow(deal, "shard long, _s int, first long, n long")
 
     def slots(self) -> DataFrame:
         """shard, slot of the source, source number, block number, pass, and the words that the slot takes at most."""
@@ -208,12 +208,13 @@ class Mix:
 
         def place(batches):
             for b in batches:
-                k, i, s = b["_blocks"].to_numpy(), b["_i"].to_numpy(), b["_s"].to_numpy()
+                k, i, s, last, cut = (b.column(c).to_numpy() for c in ("_blocks", "_i", "_s", "_last", "_cut"))
                 turn = i // k
-                most = np.where(i == b["_last"].to_numpy(), b["_cut"].to_numpy(), block)
-                yield pd.DataFrame({"shard": b["shard"], "slot": i, "_s": s, "_block": permute(i % k, k, turn_key(s, turn, seed)), "turn": turn, "_most": most})
+                most = np.where(i == last, cut, block)
+                cols = (b.column("shard"), b.column("_i"), b.column("_s"), permute(i % k, k, turn_key(s, turn, seed)), turn, most)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names=["shard", "slot", "_s", "_block", "turn", "_most"])
 
-        return each.select("shard", "_s", "_blocks", "_last", "_cut", "_i").mapInPandas(place, "shard long, slot long, _s int, _block long, turn long, _most long")
+        return each.select("shard", "_s", "_blocks", "_last", "_cut", "_i").mapInArrow(place, "shard long, slot long, _s int, _block long, turn long, _most long")
 
     def block_pieces(self) -> DataFrame:
         """What each block is made of: the document's row, the first of its words there, where in the block, and how many."""
@@ -256,13 +257,13 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     out = rows.join(taken, same)
     types = {f.name: f.dataType for f in docs.schema}
 
-    @F.pandas_udf(T.StringType())
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.StringType())
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         import re
 
         word = re.compile(WORD)
         done = []
-        for text, own in zip(texts, spans, strict=True):
+        for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
             at = [m.span() for m in word.finditer(text)]
             runs: list[list[int]] = []
             for s in own:
@@ -272,7 +273,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 else:
                     runs.append([w, w + n])
             done.append("\n".join(text[at[a][0] : at[b - 1][1]] for a, b in runs))
-        return pd.Series(done, dtype=object)
+        return pa.array(done, pa.string())
 
     out = out.withColumn("_cut", cut("_t", "_spans"))
     put = {text_col: F.col("_cut"), "n_chars": F.char_length("_cut")}

@@ -7,7 +7,6 @@ from collections import defaultdict
 from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -307,7 +306,8 @@ def pack(found: DataFrame, most: int = MAX_TOKENS, bins: int = 64, parts: int =
     plans = [plan(histogram, most, bins, parts, share) for share in SHARES]
     rows = min(plans, key=lambda p: max((first + n for _, _, n, first, _ in p), default=0))
     kinds = "_length long, _rank long, _count long, _sequence long, _offset long"
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["_length", "_rank", "_count", "_sequence", "_offset"]).astype("int64"), kinds)
+    names = ["_length", "_rank", "_count", "_sequence", "_offset"]
+    table = spark.createDataFrame(pa.table([pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(5)], names=names), kinds)
     ranked = numbered(found.withColumn("_one", F.lit(1)), ["length"], ["_id", "_th", "piece", "start"], "_one")
     at = (F.col("length") == F.col("_length")) & (F.col("_start") >= F.col("_rank")) & (F.col("_start") < F.col("_rank") + F.col("_count"))
     placed = ranked.join(F.broadcast(table), at)  # the plan's rows are bounded by `most`
