@@ -188,7 +188,7 @@ def feature(pcm: np.ndarray, chunk: int = 1 << 20) -> str:
 
 
 #: Bytes of media that a task decodes together; a larger file is decoded alone.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 20
 
 
 def store_audio(df: DataFrame, payload_col: str, out_col: str = "media", tag: int = MULAW, rate: int = 8000, block: int = 64, tag_col: str | None = None) -> DataFrame:
@@ -213,7 +213,7 @@ def decode_audio(df: DataFrame, media_col: str = "media", to_rate: int = 16000,
     """df with what a media column holds: `samples` (the stored bytes, read back), `codec`, `rate`, `feature` (of the
     expanded samples), `pcm` (16-bit little endian, resampled to to_rate; left out if pcm is False), `error`.
     A null or damaged file gives nulls and its error; a file without samples gives empty bytes. Files are decoded about
-    8 MB together, a longer one alone; its samples are widened and resampled in parts. Other columns stay; those of the
+    1 MB together, a longer one alone; its samples are widened and resampled in parts. Other columns stay; those of the
     new names are replaced."""
     kept = [c for c in df.columns if c not in ("samples", "codec", "rate", "feature", "pcm", "error")]
     schema = df.select(*kept).schema.add("samples", "binary").add("codec", "integer").add("rate", "integer").add("feature", "string").add("error", "string")
