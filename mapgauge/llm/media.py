@@ -244,7 +244,7 @@ def decode_audio(df: DataFrame, media_col: str = "media", to_rate: int = 16000,
                 done = {k: [] for k in names}
                 for g, error in got:
                     w = resample(next(wide), g[1], to_rate) if pcm and g else next(wide) if g else None
-                    row = (bytes(g[3]), g[0], g[1], feature(w), None, memoryview(w.astype("<i2", copy=False)).cast("B") if pcm and len(w) else b"") if g else (None, None, None, None, error, None)
+                    row = (bytes(g[3]), g[0], g[1], feature(w), None, w.astype("<i2", copy=False).tobytes() if pcm else None) if g else (None, None, None, None, error, None)
                     for k, v in zip(names, row, strict=False):
                         done[k].append(v)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *[pa.array(done[k], kinds[k]) for k in names]], names=[*kept, *names])
