@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapgauge.operators.durable import discard, durable, release, shared_dir
 
-__all__ = ["NULL_ID", "carried_out", "discard", "durable", "framed", "id_out", "lower_ascii", "partitions", "read", "release", "shared_dir", "small_batches", "text_of", "with_id"]
+__all__ = ["NULL_ID", "carried_out", "discard", "durable", "framed", "id_out", "lower_ascii", "partitions", "read", "release", "shared_dir", "small_batches", "text_of", "trimmed", "with_id"]
 
 #: Stands for a null identifier inside an operator; it sorts before every other one.
 NULL_ID = -(2**63)
@@ -59,3 +62,25 @@ def lower_ascii(c: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        return
+
+
+def trimmed(run):
+    """run, a function for mapInArrow, giving the room that it no longer uses back after each batch: workers live on, and
+    Arrow's pool would hold what the largest batches took."""
+
+    def go(batches):
+        for b in run(batches):
+            yield b
+            del b
+            _trim()
+        _trim()
+
+    return go

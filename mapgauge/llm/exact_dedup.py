@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import NULL_ID, carried_out, discard, durable, framed, id_out, lower_ascii, partitions
+from mapgauge.llm.common import NULL_ID, carried_out, discard, durable, framed, id_out, lower_ascii, partitions, trimmed
 
 _RUNS = "_id long, text_sha256 string, part int, run long, size long, keep long, first boolean, edge boolean"
 #: Bytes of a text that a splitter holds at most, and sampled rows for each partition.
@@ -158,7 +158,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     rows = rows.withColumn("_at", F.arrow_udf(_placed(cuts), "long")(head_of(F.col("_norm")), "_id"))
     rows = rows.withColumn("_part", F.expr("cast(_at div 2 as int)"))
     ordered = rows.repartitionById(len(cuts) + 1, "_part").sortWithinPartitions("_norm", "_id")
-    runs = durable(ordered.select("_id", "_norm", "_at").mapInArrow(_runs(keep == "largest"), _RUNS))
+    runs = durable(ordered.select("_id", "_norm", "_at").mapInArrow(trimmed(_runs(keep == "largest")), _RUNS))
     pick = F.max if keep == "largest" else F.min
     edges = runs.where("edge").groupBy("part", "run", "text_sha256").agg(F.count(F.lit(1)).alias("size"), pick("keep").alias("keep"))
     whole = edges.groupBy("text_sha256").agg(F.sum("size").alias("all_size"), pick("keep").alias("all_keep"))

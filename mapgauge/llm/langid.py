@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import small_batches
+from mapgauge.llm.common import small_batches, trimmed
 
 UNKNOWN = "und"
 #: Documents of each language that the n-gram counts are taken from, at most (about; they are chosen by hash).
@@ -125,7 +125,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 total = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], names=["key", "n"])
 
-    found = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(trimmed(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((CODES, len(languages)))
     key = found.column("key").to_numpy()
     counts[key & (CODES - 1), key >> 18] = found.column("n").to_numpy()
@@ -226,7 +226,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     out = T.StructType(list(schema.fields))
     out = out.add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StructType().add("lang", "string").add("share", "double")))
-    return docs.select(*kept).mapInArrow(run, out)
+    return docs.select(*kept).mapInArrow(trimmed(run), out)
 
 
 def _ascii_letter():

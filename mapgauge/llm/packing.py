@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import durable, framed, id_out
+from mapgauge.llm.common import durable, framed, id_out, trimmed
 from mapgauge.llm.mixing import numbered
 
 MAX_TOKENS = 2048
@@ -162,7 +162,7 @@ def pieces(docs: DataFrame, most: int = MAX_TOKENS, vocabulary: str = VOCABULARY
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for k, c in out.items()], names=list(out))
 
     rows = framed(docs, [], id_col, text_col).select("_id", "_th", "_t")
-    return rows.mapInArrow(run, "_id long, _th long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids)
+    return rows.mapInArrow(trimmed(run), "_id long, _th long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
 # --- the plan, from the histogram of lengths alone ------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapgauge.llm.blocks import spans
-from mapgauge.llm.common import carried_out, discard, durable, framed, id_out, partitions
+from mapgauge.llm.common import carried_out, discard, durable, framed, id_out, partitions, trimmed
 
 U = np.uint64
 FULL = U(0xFFFFFFFFFFFFFFFF)
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(v.view(np.int64))], names=[*kept, "fp"])
 
     rows = framed(docs, [], id_col, text_col).select(*kept, "_t")
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*kept, "fp")))
+    return rows.mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in (*kept, "fp")))
 
 
 # --- the index ------------------------------------------------------------------------------------------------
@@ -240,7 +240,7 @@ def _links(most: int):
 def index_links(fps: DataFrame, most: int = 4, cap: int = 4096) -> DataFrame:
     """(a, b): links of `most` differing bits or fewer among distinct fingerprints, a spanning forest of each bucket."""
     spread = buckets(fps.select("fp"), most, cap).repartition(partitions(fps.sparkSession), "mask", "value")
-    return spread.mapInArrow(_links(most), "a long, b long").distinct()
+    return spread.mapInArrow(trimmed(_links(most)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
