@@ -142,6 +142,23 @@ def fingerprint_pairs(docs: DataFrame, sizes: DataFrame, words: int, most: int,
     return both
 
 
+def long_pairs(lists: DataFrame, first: DataFrame, least: float) -> DataFrame:
+    """(u, n, i, v, m, j): the pairs of different components c in long lists that may be similar, each in one list only.
+
+    The sketch goes with each entry, for the join itself to leave out what cannot be similar; and so do the lists that the
+    text is in at earlier places. Texts that share one of those meet there, and only the places of the first meeting bound
+    what they share (see _possible), so later lists leave the pair out.
+    """
+    own = lists.groupBy("node").agg(F.collect_list(F.struct("i", "sh")).alias("_all"))
+    entries = lists.join(own, "node").join(first.select("node", "odd"), "node")
+    i = F.col("i")
+    entries = entries.withColumn("_b", F.transform(F.filter("_all", lambda x: x["i"] < i), lambda x: x["sh"])).drop("_all")
+    a = entries.select("sh", F.col("node").alias("u"), "n", "i", "c", F.col("odd").alias("p"), F.col("_b").alias("_x"))
+    b = entries.select("sh", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"), F.col("odd").alias("q"), F.col("_b").alias("_y"))
+    both = a.join(b, "sh").where((F.col("c") < F.col("d")) & _possible(least) & _may(least) & ~F.arrays_overlap("_x", "_y"))
+    return both.select("u", "n", "i", "v", "m", "j")
+
+
 def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
     """docs with one row for each component of linked texts: that of the smallest (id, text hash); all columns stay.
 
@@ -207,12 +224,7 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: st
         if all_:
             few = now.where(F.col("g") <= OFTEN).select("sh", F.col("node").alias("u"), "n", "i", "c")
             pairs = few.join(side.where(F.col("g") <= OFTEN), "sh").where("c < d").where(_possible(least)).select("u", "n", "i", "v", "m", "j")
-            # in long lists the sketch goes with each entry, for the join itself to leave out what cannot be similar
-            many = now.where(F.col("g") > OFTEN).join(first.select("node", "odd"), "node")
-            other = many.select("sh", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"), F.col("odd").alias("q"))
-            many = many.select("sh", F.col("node").alias("u"), "n", "i", "c", F.col("odd").alias("p")).join(other, "sh").where("c < d")
-            many = many.where(_possible(least) & _may(least)).select("u", "n", "i", "v", "m", "j")
-            pairs = sketched(pairs.unionByName(many))
+            pairs = sketched(pairs.unionByName(long_pairs(now.where(F.col("g") > OFTEN), first, least)))
         else:
             heads = now.groupBy("sh").agg(F.min_by(F.struct("node", "n", "i", "c"), F.struct(F.xxhash64("c", F.lit(k)), F.xxhash64("node", F.lit(k)))).alias("h"))
             heads = heads.select("sh", F.col("h.node").alias("u"), F.col("h.n").alias("n"), F.col("h.i").alias("i"), F.col("h.c").alias("c"))
