@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mapgauge.functions.digest import digits_of, md5_48
 from mapgauge.operators.durable import durable
 from mapgauge.operators.relational import number_within, quantiles, running
 
+#: Of the bootstrap: values in a block, groups that resamples are dealt to (for each side), numbers hashed at a time.
+BLOCK, GROUPS, CHUNK = 1 << 14, 32, 1 << 13
+
 
 def profile(df: DataFrame, columns, *group: str) -> DataFrame:
     """Count, mean, median, deviation, min and max of each numeric column, of each group (file) where one is named; std is
@@ -128,17 +134,56 @@ def normal_tail(z: Column) -> Column:
 
 def bootstrap_median_difference(df: DataFrame, value: str, side: str, first, second, key: str, reps: int = 2000, seed: int = 0) -> DataFrame:
     """Median difference over resamples with replacement: percentiles 2.5, 50 and 97.5. Row k of a resample is the row
-    whose rank is a hash of (seed, rep, k); the two sides are given as ranks, so the draw is an equi-join."""
-    rows = df.where(F.col(side).isin(first, second) & F.col(value).isNotNull()).select(F.col(side).alias("_s"), F.col(value).cast("double").alias("_v"), F.col(key).alias("_k"))
+    whose rank is a hash of (seed, rep, k).
+
+    A task has some resamples of a side, and the side's values by rank in blocks: it draws one resample after the other and keeps
+    its median, so no draw is a row. It holds 8 bytes for each row of the side, and as many for one resample.
+    """
+    rows = df.where(F.col(side).isin(first, second) & F.col(value).isNotNull()).select(F.col(side).cast("string").alias("_s"), F.col(value).cast("double").alias("_v"), F.col(key).alias("_k"))
     rows = durable(number_within(rows, ["_s"], ["_k", "_v"], "_r").withColumnRenamed("_r_of", "_n"))
-    draws = rows.select("_s", "_r", "_n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    draws = draws.withColumn("_pick", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "rep", "_s", "_r")), 1, 12), 16, 10).cast("long"), F.col("_n")))
-    got = draws.select("_s", "rep", F.col("_pick").alias("_r")).join(rows.select("_s", "_r", "_v"), ["_s", "_r"])
-    m = got.groupBy("rep").agg(F.median(F.when(F.col("_s") == first, F.col("_v"))).alias("a"), F.median(F.when(F.col("_s") == second, F.col("_v"))).alias("b"))
+    blocks = rows.groupBy("_s", "_n", F.expr(f"_r div {BLOCK}").alias("_b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias("_values"))
+    groups = min(reps, GROUPS)
+    part = 2 * F.col("_g") + (F.col("_s") == str(first)).cast("int")
+    spread = blocks.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_p", part)
+    spread = spread.repartitionById(2 * groups, "_p").sortWithinPartitions("_b").select("_s", "_n", "_g", "_values")
+    m = spread.mapInArrow(_medians(reps, groups, str(seed)), "_s string, rep int, m double")
+    m = m.groupBy("rep").agg(F.max(F.when(F.col("_s") == str(first), F.col("m"))).alias("a"), F.max(F.when(F.col("_s") == str(second), F.col("m"))).alias("b"))
     q = m.agg(F.percentile(F.col("a") - F.col("b"), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("_q"))
     return q.select(F.col("_q")[0].alias("low"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("high"))
 
 
+def _medians(reps: int, groups: int, seed: str):
+    def run(batches):
+        held, side, n, g = [], None, 0, 0
+        for b in batches:  # of one side and one group of resamples
+            if b.num_rows:
+                side, n, g = (b.column(c)[0].as_py() for c in ("_s", "_n", "_g"))
+                held.append(b.column("_values").flatten().to_numpy())
+        if not held:
+            return
+        values = np.concatenate(held)
+        del held
+        drawn = np.empty(n)
+        # chunks of numbers of one length
+        chunks, at = [], 0
+        while at < n:
+            size = min(n, 10 ** len(str(at)), at + CHUNK) - at
+            chunks.append((at, digits_of(at, size)))
+            at += size
+        mine = range(g, reps, groups)
+        out = np.empty(len(mine))
+        for i, rep in enumerate(mine):
+            head = f"{seed}-{rep}-{side}-".encode()
+            for at, digits in chunks:
+                drawn[at : at + digits.shape[1]] = values[md5_48(head, digits) % n]
+            drawn.partition([(n - 1) // 2, n // 2])
+            low, high = drawn[(n - 1) // 2], drawn[n // 2]
+            out[i] = low + (high - low) / 2 if low != high else low
+        yield pa.RecordBatch.from_arrays([pa.array([side] * len(mine)), pa.array(mine, pa.int32()), pa.array(out)], names=["_s", "rep", "m"])
+
+    return run
+
+
 def minmax(df: DataFrame, value: str, lo: float = 0.0, hi: float = 1.0, alias: str = "scaled") -> DataFrame:
     """M8: value moved to lo..hi by the overall smallest and largest; null where they are equal."""
     ends = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))  # one row
