@@ -7,31 +7,55 @@ from pyspark.sql import functions as F
 
 from mapgauge.functions.geo import haversine_km
 from mapgauge.functions.text import clean_name
+from mapgauge.operators.durable import durable
 
-#: Rows up to which a table of places is broadcast; beyond, its blocks are joined by number.
+#: Spots up to which they are broadcast; beyond, their blocks are joined by number.
 SMALL = 20_000
 
 
 def nearest_farthest(places: DataFrame, queries: DataFrame | None = None, name="name", lat="lat", lon="lon", distance=haversine_km, small: int = SMALL) -> DataFrame:
     """For each place of `queries` (all places if not given) the nearest and the farthest other, the first by name on a tie.
 
-    Distances are never kept: each task reduces what it sees to one nearest and one farthest a place. Places broadcast when
-    they are `small` rows or fewer; a larger table is cut into blocks, and a query meets every block in another task.
+    Distances are between spots: places at one position are one, of which the first two names are kept, for a place only ever
+    leaves out its own name. Each spot finds its nearest and farthest name, then, for the place of that name, the next best.
+    Distances are never kept: each task reduces what it sees. Spots broadcast when they are `small` or fewer; more are cut
+    into blocks, and a spot meets every block in another task. A place without a position is nobody's other, and has none.
     """
+    spark = places.sparkSession
     queries = places if queries is None else queries
-    n = places.count()
-    right = places.select(F.col(name).alias("_n"), F.col(lat).alias("_y"), F.col(lon).alias("_x"))
-    left = queries.select(F.col(name).alias("name"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    if n <= small:
-        both = left.join(F.broadcast(right), F.col("name") != F.col("_n"))
-    else:
-        blocks = -(-n // small)
-        right = right.withColumn("_b", F.pmod(F.xxhash64("_n"), F.lit(blocks)).cast("int"))
-        left = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        both = left.join(right, "_b").where(F.col("name") != F.col("_n"))
-    both = both.withColumn("_d", F.round(distance("_lat", "_lon", "_y", "_x"), 9))
-    near, far = F.min(F.struct("_d", "_n")), F.min(F.struct((-F.col("_d")).alias("_d"), F.col("_n")))
-    out = both.groupBy("name").agg(near.alias("_near"), far.alias("_far"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = queries.where(F.col(name).isNotNull()).select(F.col(name).alias("name"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    rows = places.select(F.col(name).alias("_n"), F.col(lat).alias("_y"), F.col(lon).alias("_x")).dropna()
+    one = rows.groupBy("_y", "_x").agg(F.min("_n").alias("_n1"))
+    two = rows.join(one, ["_y", "_x"]).where(F.col("_n") != F.col("_n1")).groupBy("_y", "_x").agg(F.min("_n").alias("_n2"))
+    spots = durable(one.join(two, ["_y", "_x"], "left"))
+    blocks = -(-spots.count() // small)
+
+    def best(at, a, b):
+        """at with _near and _far, (distance, name), among the names other than those in its columns a and b."""
+        if blocks <= 1:
+            both = at.crossJoin(F.broadcast(spots))
+        else:
+            right = spots.withColumn("_b", F.pmod(F.xxhash64("_y", "_x"), F.lit(blocks)).cast("int"))
+            both = at.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "_b")
+        both = both.withColumn("_d", F.round(distance("_lat", "_lon", "_y", "_x"), 9))
+
+        def least(d, out):
+            n = F.when(out.isNull() | (F.col("_n1") != out), F.col("_n1")).otherwise(F.col("_n2"))
+            return F.min(F.when(d.isNotNull() & n.isNotNull(), F.struct(d.alias("_d"), n.alias("_n"))))
+
+        d = F.col("_d")
+        return durable(both.groupBy("_lat", "_lon").agg(least(d, a).alias("_near"), least(-d, b).alias("_far")))
+
+    none = F.lit(None).cast("string")
+    at = durable(own.select("_lat", "_lon").dropna().distinct().repartition(parts, "_lat", "_lon"))
+    found = best(at.repartition(parts, "_lat", "_lon"), none, none)
+    firsts = found.select("_lat", "_lon", F.col("_near._n").alias("_na"), F.col("_far._n").alias("_fa")).repartition(parts, "_lat", "_lon")
+    others = best(firsts, F.col("_na"), F.col("_fa")).withColumnsRenamed({"_near": "_near2", "_far": "_far2"})
+    out = own.join(found.join(others, ["_lat", "_lon"]), ["_lat", "_lon"], "left")
+    pick = lambda x, y: F.when(F.col(f"{x}._n") != F.col("name"), F.col(x)).otherwise(F.col(y))
+    out = out.groupBy("name").agg(F.min(pick("_near", "_near2")).alias("_near"), F.min(pick("_far", "_far2")).alias("_far"), F.max(F.col("_lat").isNull() | F.col("_lon").isNull()).alias("_void"))
+    out = out.where(F.col("_near").isNotNull() | F.col("_void"))
     return out.select("name", F.col("_near._n").alias("near"), F.col("_near._d").alias("near_km"), F.col("_far._n").alias("far"), (-F.col("_far._d")).alias("far_km"))
 
 
