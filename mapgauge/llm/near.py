@@ -3,6 +3,7 @@ fingerprints miss, for similar texts may differ in any number of bits, comes fro
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -19,7 +20,8 @@ U = np.uint64
 PART, LONGS = U(55), 8
 #: A shingle of more documents than this comes last in the order of shingles, if it is one of the HOT commonest found.
 OFTEN, HOT = 32, 1 << 16
-#: Rounds of stars before all pairs that are left are tested, and the pairs a posting at which they are few enough for that.
+#: Rounds of stars at least (more while each leaves under half of the pairs) before all pairs that are left are tested, and the
+#: pairs a posting at which they are few enough for that.
 ROUNDS, FEW = 2, 8
 
 
@@ -159,6 +161,19 @@ def long_pairs(lists: DataFrame, first: DataFrame, least: float) -> DataFrame:
     return both.select("u", "n", "i", "v", "m", "j")
 
 
+def star_pairs(lists: DataFrame, k: int) -> DataFrame:
+    """(u, n, i, v, m, j): in each list the members of other components with one member of the component that has most there.
+
+    Which member differs by list and by round k: a text that is similar to some of a large component meets as many of them
+    as it has lists, in a row for each entry, and need not meet all.
+    """
+    each = lists.groupBy("sh", "c").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("node", "n", "i"), F.xxhash64("node", "sh", F.lit(k))).alias("h"))
+    heads = each.groupBy("sh").agg(F.max_by(F.struct("h", "c"), F.struct("_n", F.xxhash64("c", F.lit(k)))).alias("h"))
+    heads = heads.select("sh", F.col("h.h.node").alias("u"), F.col("h.h.n").alias("n"), F.col("h.h.i").alias("i"), F.col("h.c").alias("c"))
+    side = lists.select("sh", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
+    return side.join(heads, "sh").where("c <> d").select("u", "n", "i", "v", "m", "j")
+
+
 def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
     """docs with one row for each component of linked texts: that of the smallest (id, text hash); all columns stay.
 
@@ -169,7 +184,7 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: st
     Operator 7's fingerprints of `words`-word shingles and its index (`most` differing bits) name the first pairs. Texts of
     that similarity may lie more bits apart; but every such pair shares a shingle of the two prefixes in a common order, so
     the lists of these name the rest and none is missed. First come the pairs of the index, then stars about one member
-    of each posting list, by which large groups of copies become one component, then all pairs of different components.
+    of each posting list's largest component, by which large groups become one component, then all pairs of different components.
     A pair goes on to the test on whole texts if sizes, places in the prefixes and sketches still allow the similarity; these
     bounds are exact, so they lose none.
     """
@@ -204,7 +219,8 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: st
     release(spark)
     label = durable(components(links))
     discard(links)
-    for k in range(ROUNDS + 1):
+    last = math.inf
+    for k in itertools.count():
         now = lists.select("sh", "node", "n", "i").join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         # pairs left in a list: all less those within a component
         each = now.groupBy("sh", "c").agg(F.count(F.lit(1)).cast("double").alias("g"))
@@ -215,20 +231,19 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: st
             discard(open_)
             break
         now = durable(now.join(open_.select("sh", "g"), "sh"))  # a list within one component stays so
-        all_ = k == ROUNDS or left <= FEW * size
+        all_ = left <= FEW * size or (k >= ROUNDS and 2 * left > last)
+        last = left
         discard(open_)
         discard(lists)
         lists = now
         del open_, each
-        side = now.select("sh", "g", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
         if all_:
+            side = now.select("sh", "g", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
             few = now.where(F.col("g") <= OFTEN).select("sh", F.col("node").alias("u"), "n", "i", "c")
             pairs = few.join(side.where(F.col("g") <= OFTEN), "sh").where("c < d").where(_possible(least)).select("u", "n", "i", "v", "m", "j")
             pairs = sketched(pairs.unionByName(long_pairs(now.where(F.col("g") > OFTEN), first, least)))
         else:
-            heads = now.groupBy("sh").agg(F.min_by(F.struct("node", "n", "i", "c"), F.struct(F.xxhash64("c", F.lit(k)), F.xxhash64("node", F.lit(k)))).alias("h"))
-            heads = heads.select("sh", F.col("h.node").alias("u"), F.col("h.n").alias("n"), F.col("h.i").alias("i"), F.col("h.c").alias("c"))
-            pairs = sketched(side.join(heads, "sh").where("c <> d"))
+            pairs = sketched(star_pairs(now, k))
         found = durable(tested(pairs))
         del pairs
         release(spark)
@@ -239,7 +254,7 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: st
         before, label = label, durable(up.unionByName(more))
         for x in (before, more, found):
             discard(x)
-        del ends, up, now, side
+        del ends, up, now
         release(spark)
         if all_:
             break
