@@ -122,7 +122,8 @@ def _runs(largest: bool):
             done = []
             if starts.size == 0 or starts[0] > 0:
                 ids.append(own[: starts[0] if starts.size else None])
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            # none starts where all rows of the batch go on with the text before
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows] if starts.size else [], strict=True):
                 if ids:
                     done.append(close())
                 run, ids, edge = run + 1, [own[a:b]], bool(at[a] & 1)

@@ -51,3 +51,20 @@ def test_partitions_are_ranges_of_bytes(spark):
             assert max(a) <= min(b)
     assert all({e for _, e in p} == {1} for p in parts.values() if len(p) > 1)
     assert exact_dedup.splitters(rows.limit(0), 13) == [] and exact_dedup.splitters(rows, 1) == []
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_a_text_may_fill_whole_batches(spark, keep):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    rows = [(i, "same") for i in range(100)] + [(200 + i, "zz"[: i % 3]) for i in range(60)]
+    try:
+        got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep).collect()
+    finally:
+        spark.conf.set(name, before)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    stays = {t: (max if keep == "largest" else min)(g) for t, g in groups.items()}
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == Counter((i, stays[t], len(groups[t]), i == stays[t], sha(t.encode())) for i, t in rows)
